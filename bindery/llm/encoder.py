@@ -1,11 +1,13 @@
 """Exact and fast use of the public tokenizers.
 
-Piece cache. In the byte-level pattern a single space before a character that is no white
-space always begins a new pre-token: letters, digits and other signs take at most one space,
-at their start, and a run of white space gives its last character to what follows. Merges
-stay inside pre-tokens. So a text cut before each such space encodes to the concatenated ids
-of the pieces, and the ids of a piece can be kept. Strings of added tokens are cut out first,
-as the library does it.
+Piece cache. The byte-level pattern cuts a text into pre-tokens, and merges stay inside them.
+Letters, digits and other signs take at most one space, at their start, and a run of white
+space gives its last character to what follows. So a single space before a character that is no
+white space always begins a pre-token, and a single line feed between two such characters is a
+pre-token of its own. A text cut at these places encodes to the concatenated ids of its
+pieces, and the ids of a piece can be kept: pieces are the words of a text, with the
+space or line feed before them. Texts with other white space are cut before single spaces
+alone. Strings of added tokens are cut out first, as the library does it.
 """
 
 from __future__ import annotations
@@ -29,10 +31,18 @@ def default_path() -> str:
     return public_tokenizers.path(BYTE_BPE)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for
+    themselves, the others from U+0100 on, in order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
 class JsonEncoder:
     """ids as little-endian unsigned 32-bit integers. kept: bound of the cache's entries."""
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -43,11 +53,12 @@ class JsonEncoder:
         plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in self.library.get_added_tokens_decoder().values())
         self.cuts = plain and self._byte_level()
         self._added = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.after_space: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.ids: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.line_feed = feed[0]
+        self.line_feed, self.feed = feed[0], feed[0].to_bytes(4, "little")
+        self._letters, self._space = _byte_letters(), chr(0x120)
         self.cuts = self.cuts and len(feed) == 1
 
     def _byte_level(self) -> bool:
@@ -63,78 +74,109 @@ class JsonEncoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cuts:
-            return self._raw([text])[0]
-        if self._added is not None and any(x in text for x in self.added):
-            return b"".join(self.added[x] if k % 2 else self._plain(x) for k, x in enumerate(self._added.split(text)))
-        return self._plain(text)
+        return self.encode_all([text])[0]
 
-    def _plain(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. What is new in all of them is learnt together."""
+        if not self.cuts:
+            return [x if t else b"" for t, x in zip(texts, self._raw(texts))]
+        out: list[bytes | None] = [None] * len(texts)
+        cut: list[tuple[int, list[str], bool]] = []
+        for k, t in enumerate(texts):
+            if not t:
+                out[k] = b""
+            elif self._added is not None and any(x in t for x in self.added):
+                out[k] = b"".join(self.added[x] if j % 2 else self.encode(x) for j, x in enumerate(self._added.split(t)))
+            else:
+                feed = t[-1] == "\n" and len(t) > 1 and not t[-2].isspace()
+                if feed:
+                    t = t[:-1]
+                if "\n\n" in t or "\n " in t or " \n" in t or "  " in t or t[0].isspace() or t[-1].isspace():
+                    out[k] = self._by_spaces(t) + self.feed * feed
+                else:
+                    cut.append((k, ("\n" + t.replace("\n", " \n")).split(" "), feed))
+        if cut:
+            odd = self._learn(set().union(*(p for _, p, _ in cut)))
+            ids = self.ids.__getitem__
+            for k, pieces, feed in cut:
+                if odd and not odd.isdisjoint(pieces):
+                    out[k] = self._by_spaces(texts[k])
+                else:
+                    out[k] = b"".join(map(ids, pieces))[4:] + self.feed * feed
+        return out
+
+    def _by_spaces(self, text: str) -> bytes:
+        """Any text; pieces are cut before single spaces alone."""
         if not text:
             return b""
-        pieces = text.split(" ")
-        try:
-            return self._first(pieces[0]) + b"".join(map(self.after_space.__getitem__, pieces[1:]))
-        except KeyError:
-            pass
         pieces = _CUT.split(text)
-        now = self._learnt(pieces[1:])
-        if max(map(len, pieces)) <= _KEPT_CHARS:
-            return self._first(pieces[0]) + b"".join(map(now.__getitem__, pieces[1:]))
-        return self._first(pieces[0]) + b"".join([now[p] if len(p) <= _KEPT_CHARS else self._raw([" " + p])[0] for p in pieces[1:]])
-
-    def _first(self, piece: str) -> bytes:
-        return self._raw([piece])[0] if piece else b""
-
-    def _learnt(self, pieces: list[str]) -> dict[str, bytes]:
-        """The cache, with all these pieces in it. Half the entries are the older generation."""
-        now, older = self.after_space, self.older
-        new, parts = [], []
-        for p in set(pieces).difference(now):
-            if len(p) > _KEPT_CHARS:
+        if len(self.odd) > self.kept // 8:
+            self.odd = {}
+        new = [p for p in set(pieces[1:]).difference(self.odd) if len(p) <= _KEPT_CHARS]
+        if new:
+            self.odd.update(zip(new, self._raw([" " + p for p in new])))
+        odd = self.odd
+        return self._raw([pieces[0]])[0] * bool(pieces[0]) + b"".join([odd[p] if p in odd else self._raw([" " + p])[0] for p in pieces[1:]])
+
+    def _learn(self, pieces: set[str]) -> set[str]:
+        """Puts the pieces into the cache; returns those that can't be pieces.
+
+        The cache is let go when it is full; what these pieces need is then learnt again."""
+        if len(self.ids) > self.kept:
+            self.ids = {}
+        ids = self.ids
+        odd, joined, parts = set(), {}, []
+        for p in pieces.difference(ids):
+            core = p[1:] if p[0] == "\n" else p
+            if not core or not core.isprintable() or len(core) > _KEPT_CHARS:
+                odd.add(p)
                 continue
-            if p in older:
-                now[p] = older[p]
-                continue
-            stem = p.rstrip(_MARKS)
-            if len(stem) < len(p) and stem.isalpha() and p.isascii():  # letters, then signs: two pre-tokens
-                parts.append((p, stem))
-                if stem in older and stem not in now:
-                    now[stem] = older[stem]
-                elif stem not in now:
-                    new.append(stem)
+            stem = core.rstrip(_MARKS)
+            if len(stem) < len(core) and stem.isalpha():  # letters, then signs: two pre-tokens
+                tail = core[len(stem) :]
+                stem = p[: len(p) - len(tail)]
+                parts.append((p, stem, tail))
+                if tail not in self.marks:
+                    self.marks[tail] = self._raw([tail])[0]
+                if stem not in ids:
+                    joined[stem] = None
+            else:
+                joined[p] = None
+        rest = []
+        tokenize, plain = self.library.model.tokenize, self._letters
+        for p in joined:
+            core = p[1:] if p[0] == "\n" else p
+            if core.isalpha() and max(core) < "\u0250":  # one pre-token, in the letters of the model
+                if not core.isascii():
+                    core = core.encode().decode("latin-1").translate(plain)
+                found = b"".join([t.id.to_bytes(4, "little") for t in tokenize(core if p[0] == "\n" else self._space + core)])
+                ids[p] = self.feed + found if p[0] == "\n" else found
             else:
-                new.append(p)
-        for p, ids in self._after_space(list(dict.fromkeys(new))):
-            now[p] = ids
-        for p, stem in parts:
-            tail = p[len(stem) :]
-            if tail not in self.marks:
-                self.marks[tail] = self._raw([tail])[0]
-            now[p] = now[stem] + self.marks[tail]
-        if len(now) > self.kept // 2:
-            self.older, self.after_space = now, {}
-        return now
-
-    def _after_space(self, pieces: list[str]):
-        """Each piece with its ids. A line feed after a printable piece is a pre-token of its own."""
+                rest.append(p)
+        for p, found in self._lines(rest):
+            ids[p] = found
+        for p, stem, tail in parts:
+            ids[p] = ids[stem] + self.marks[tail]
+        if len(self.marks) > 100_000:
+            self.marks = {}
+        return odd
+
+    def _lines(self, pieces: list[str]):
+        """Each piece with its ids, encoded as lines of one text: a line feed after a printable
+        piece is a pre-token of its own."""
         import numpy as np
 
-        joined = [p for p in pieces if p.isprintable()]
-        for k in range(0, len(joined), 2000):
-            part = joined[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast([" " + "\n ".join(part) + "\n"], add_special_tokens=False)[0].ids, dtype="<u4")
+        for k in range(0, len(pieces), 2000):
+            part = pieces[k : k + 2000]
+            text = "".join([p[1:] + "\n" if p[0] == "\n" else " " + p + "\n" for p in part])
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.line_feed) * 4).tolist()
-            assert len(ends) == len(part)
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer doesn't keep line feeds apart")
             a = 0
             for p, b in zip(part, ends):
-                yield p, raw[a:b]
+                yield p, self.feed + raw[a:b] if p[0] == "\n" else raw[a:b]
                 a = b + 4
-        rest = [p for p in pieces if not p.isprintable()]
-        if rest:
-            yield from zip(rest, self._raw([" " + p for p in rest]))
 
     def starts(self, text: str) -> list[int]:
         """Where each token begins, in characters."""
@@ -157,6 +199,9 @@ class PieceEncoder:
 
         return np.array(self.library.encode(text, num_threads=1), dtype="<u4").tobytes() if text else b""
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
     def starts(self, text: str) -> list[int]:
         return [p.begin for p in self.library.encode(text, out_type="immutable_proto").pieces]
 
@@ -167,6 +212,25 @@ class PieceEncoder:
 _encoders: dict[str, JsonEncoder | PieceEncoder] = {}
 
 
+def grouped(items, size=len, most: int = 1 << 20):
+    """Lists of consecutive items, of about most characters together."""
+    group, held = [], 0
+    for x in items:
+        group.append(x)
+        held += size(x)
+        if held >= most:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def encoded(enc, texts):
+    """The ids of each text in turn; a null text has none."""
+    for group in grouped((t or "" for t in texts)):
+        yield from enc.encode_all(group)
+
+
 def encoder(path: str):
     """The encoder of this process for a file; workers keep it from task to task."""
     if path not in _encoders:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import default_path, encoder
+from .encoder import default_path, encoded, encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -160,8 +160,8 @@ def _pieces(batches, path: str, end_id: int, capacity: int, with_ids: bool):
     end = end_id.to_bytes(4, "little")
     for batch in batches:
         out = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), common.texts_of(batch)):
-            raw = enc.encode(text or "") + end
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(enc, common.texts_of(batch))):
+            raw = ids + end
             n = len(raw) // 4
             cut = [0, *range(n % capacity or capacity, n + 1, capacity)]
             for k, (a, b) in enumerate(zip(cut, cut[1:])):

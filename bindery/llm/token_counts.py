@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
-from .encoder import default_path, encoder
+from .encoder import default_path, encoder, grouped
 
 CHUNK_CHARS = 1 << 16
 OVERLAP_CHARS = 512
@@ -51,8 +51,6 @@ def count(text: str | None, enc, chunk: int = CHUNK_CHARS, overlap: int = OVERLA
         both = [p for p in sorted(mine & theirs) if right + min(MARGIN, wide // 4) <= p < end - min(MARGIN, wide // 4) and stable(text, p)]
         if not both:  # widen the overlap, and encode the left chunk again with it
             wide, left_starts = wide * 2, None
-            if skip:  # the counted part ends at a stable boundary, so it is the same again
-                pass
             if stats is not None:
                 stats["widened"] = stats.get("widened", 0) + 1
             continue
@@ -68,9 +66,10 @@ def _count(batches, path: str, chunk: int, overlap: int):
     enc = encoder(path)
     for batch in batches:
         tokens, sizes = [], []
-        for text in common.texts_of(batch):
-            tokens.append(count(text, enc, chunk, overlap))
-            sizes.append(len(text.encode()) if text else 0)
+        for group in grouped(t or "" for t in common.texts_of(batch)):
+            short = iter(enc.encode_all([t for t in group if len(t) <= chunk + overlap]))
+            tokens += [len(next(short)) // 4 if len(t) <= chunk + overlap else count(t, enc, chunk, overlap) for t in group]
+            sizes += [len(t.encode()) for t in group]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 

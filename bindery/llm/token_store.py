@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .encoder import default_path, encoder
+from .encoder import default_path, encoded, encoder
 
 #: Ids in a word, and their width, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 0, 1])
@@ -45,10 +45,14 @@ def _run_ends(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     selector = np.full(n, ESCAPE, np.int8)
     for s in range(13, -1, -1):  # longer runs overwrite shorter ones
-        wide = ids >= np.uint64(1) << np.uint64(int(WIDTHS[s]))
-        next_wide = np.where(wide, np.arange(n), n)
-        next_wide = np.minimum.accumulate(next_wide[::-1])[::-1]
-        selector[next_wide - np.arange(n) >= np.minimum(COUNTS[s], n - np.arange(n))] = s
+        wide = np.flatnonzero(ids >> np.uint64(int(WIDTHS[s])))
+        begin, end = np.concatenate(([0], wide + 1)), np.concatenate((wide, [n]))
+        last = np.where(end == n, n, end - COUNTS[s] + 1)  # at the end of all ids shorter runs do too
+        some = last > begin
+        edge = np.zeros(n + 1, np.int8)
+        edge[begin[some]] = 1
+        edge[last[some]] -= 1
+        selector[np.cumsum(edge[:-1], dtype=np.int8).view(bool)] = s
     return selector, np.minimum(COUNTS[selector], n - np.arange(n))
 
 
@@ -108,8 +112,8 @@ def _blocks(batches, path: str, end_id: int):
         )
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), common.texts_of(batch)):
-            parts.append(enc.encode(text or "") + end)
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(enc, common.texts_of(batch))):
+            parts.append(ids + end)
             names.append(doc_id)
             lengths.append(len(parts[-1]) // 4)
             held += lengths[-1]
