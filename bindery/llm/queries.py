@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontaminate
+from .language_id import op9_language_id
 from .packing import op8_packing
+from .quality_model import op6_quality_model
 from .quality_rules import op2_quality_rules
 from .simhash import op4_simhash
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op5_token_counts
 from .token_store import op3_token_store
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_quality_rules, op3_token_store, op4_simhash, op5_token_counts, op7_substring_dedup, op8_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate,
+        op2_quality_rules,
+        op3_token_store,
+        op4_simhash,
+        op5_token_counts,
+        op6_quality_model,
+        op7_substring_dedup,
+        op8_packing,
+        op9_language_id,
+    )
+}
 
 #: Each method here works on token ids, suffix arrays, hashes or trained models, which SQL
 #: can't express; tests/llm holds them against brute force, round trips and held-out rows.
