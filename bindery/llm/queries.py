@@ -11,6 +11,7 @@ from .simhash import op4_simhash
 from .substring_dedup import op7_substring_dedup
 from .token_counts import op5_token_counts
 from .token_store import op3_token_store
+from .toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -24,6 +25,7 @@ QUERIES = {
         op7_substring_dedup,
         op8_packing,
         op9_language_id,
+        op10_toxicity,
     )
 }
 
