@@ -174,7 +174,8 @@ def _components(hashed: DataFrame, bucket: int) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of each row."""
     hashed = written(common.id_and_text(docs, id_col, text_col).mapInArrow(partial(_hashed, shingle=shingle), "doc_id long, fp long"), "hashed")
-    named = hashed.join(_components(hashed, bucket), "fp", "left")
+    # A table of its own, so that the join reads two plain exchanges and Spark can split a hot fingerprint.
+    named = hashed.join(written(_components(hashed, bucket), "components"), "fp", "left")
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
