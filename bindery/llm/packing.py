@@ -46,13 +46,13 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     total, best = int((lengths * counts).sum()), 0
     best = -(-total // capacity)
     ahead, volume = np.concatenate((np.cumsum(counts[::-1])[::-1], [0])), np.concatenate((np.cumsum((lengths * counts)[::-1])[::-1], [0]))
-    for k in range(0, capacity // 2 + 1):
-        large, half = int(ahead[min(len(counts), capacity - k + 1)]), capacity // 2 + 1
-        middle = int(ahead[half]) - large
-        small = int(volume[k]) - int(volume[half])
-        room = middle * capacity - (int(volume[half]) - int(volume[min(len(counts), capacity - k + 1)]))
-        best = max(best, large + middle + max(0, -(-(small - room) // capacity)))
-    return best
+    k, half = np.arange(capacity // 2 + 1), capacity // 2 + 1
+    above = np.minimum(len(counts), capacity - k + 1)
+    large = ahead[above]
+    middle = ahead[min(half, len(counts))] - large
+    small = volume[np.minimum(k, len(counts))] - volume[min(half, len(counts))]
+    room = middle * capacity - (volume[min(half, len(counts))] - volume[above])
+    return max(best, int((large + middle + np.maximum(0, -((room - small) // capacity))).max()))
 
 
 def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -101,7 +101,7 @@ def fillings(have: np.ndarray, largest: int, capacity: int, most: int = BRANCHES
             return
         for a in lengths[np.searchsorted(-lengths, -min(top, target - items + 1)) :].tolist():
             tried += 1
-            if a * items < target or tried > 4000:
+            if a * items < target or tried > 400:
                 return
             for rest in combine(target - a, items - 1, a):
                 yield (a, *rest)
