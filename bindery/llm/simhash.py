@@ -162,13 +162,13 @@ def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def _components(hashed: DataFrame, bucket: int) -> DataFrame:
-    """fp, component_id of every fingerprint that a row with an id has."""
+    """fp, root, component_id of every fingerprint that a row with an id has; root names the component."""
     nodes = written(hashed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     roots = connected_components(hamming_links(nodes.select("fp"), bucket)).withColumnRenamed("node", "fp")
     linked = roots.join(nodes, "fp")
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(least, "root").select("fp", "component_id")
-    return nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    named = roots.join(least, "root").select("fp", "root", "component_id")
+    return nodes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
 
 
 def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,7 +198,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_c
     printed = docs.mapInArrow(partial(_with_print, text_col=text_col, shingle=shingle), schema)
     hashed = written(printed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(_FP).alias("fp")), "hashed")
     first = hashed.join(_components(hashed, bucket), "fp").where("doc_id = component_id")
-    stay = first.groupBy("component_id").agg(F.min("fp").alias(_FP)).withColumnRenamed("component_id", id_col)
+    stay = first.groupBy("root", "component_id").agg(F.min("fp").alias(_FP)).select(F.col("component_id").alias(id_col), _FP)
     one = printed.where(F.col(id_col).isNotNull()).join(stay, [id_col, _FP], "left_semi").dropDuplicates([id_col, _FP])
     return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 

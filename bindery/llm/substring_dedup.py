@@ -165,7 +165,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_co
     copies = renamed(rows)
     marks = copies.withColumn("__tag", F.col(_KEY).bitwiseAND(F.lit(0xFFFFFF))).join(starts, [id_col, "__tag"], "left").drop("__tag")
     joined = usable.join(marks, [id_col, _KEY], "left").select(*columns, _FIRST, _STARTS)
-    schema = StructType(docs.schema.fields).add("__n_words", "long").add("__n_removed", "long")
+    schema = StructType([*docs.schema.fields]).add("__n_words", "long").add("__n_removed", "long")
     done = joined.mapInArrow(partial(_applied, text_col=text_col, id_col=id_col, window=window, columns=columns), schema)
     rest = docs.where(F.col(id_col).isNull() | F.col(text_col).isNull())
     return done.unionByName(rest.mapInArrow(partial(_untouched, text_col=text_col), schema))
