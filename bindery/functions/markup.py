@@ -79,4 +79,4 @@ def escaped_rules_last(css: Column) -> Column:
     rules = F.regexp_extract_all(css, F.lit(r"(?s)[^{}]*\{[^{}]*\}"), F.lit(0))
     late = lambda r: F.contains(F.substring_index(r, "{", 1), F.lit("\\:"))
     moved = F.concat(F.filter(rules, lambda r: ~late(r)), F.filter(rules, late))
-    return F.when(F.exists(rules, late), F.array_join(F.transform(moved, F.trim), "\n")).otherwise(css)
+    return F.when(F.exists(rules, late), F.array_join(F.transform(moved, lambda r: F.trim(r)), "\n")).otherwise(css)
