@@ -203,7 +203,11 @@ class PieceEncoder:
         return [self.encode(t) for t in texts]
 
     def starts(self, text: str) -> list[int]:
-        return [p.begin for p in self.library.encode(text, out_type="immutable_proto").pieces]
+        import numpy as np
+
+        data = np.frombuffer(text.encode(), np.uint8)
+        char = np.cumsum(data & 0xC0 != 0x80) - 1  # the library counts bytes
+        return [int(char[min(p.begin, len(char) - 1)]) for p in self.library.encode(text, return_type="proto").pieces]
 
     def count(self, text: str) -> int:
         return len(self.library.encode(text, num_threads=1)) if text else 0
