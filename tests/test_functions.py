@@ -133,3 +133,19 @@ def test_watch(spark, tmp_path):
     q = watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), ["R4.1.1", "R16.2"], once=True)
     q.awaitTermination(120)
     assert {r.rule_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"R4.1.1", "R16.2"}
+
+
+def test_index_records(spark):
+    from bindery.sources import index_records as ir
+
+    words = sorted((f"wörd{k:04d}" for k in range(500)), key=lambda w: w.encode("utf-16-be"))
+    rows = [("p", w, k, k * 300, 7 * k % 1000) for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "pkg_id string, label string, index_ord long, start_pos long, text_len long")
+    got = sorted(ir.index_records(df, limit=3000).collect(), key=lambda r: r.bin)
+    assert len(got) > 3 and all(len(r.record) <= 3000 + ir.HEADER + 6 for r in got)
+    back = [e for r in got for e in ir.parse_record(bytes(r.record))]
+    assert back == [(w.encode("utf-16-be"), {1: s, 2: n}) for _, w, _, s, n in rows]
+    route = ir.routing([(bytes(r.last_label), r.n) for r in got])
+    assert ir.parse_tag_table(route) == ir.TERM_TAGS and sum(n for _, n in ir.parse_routing(route)) == 500
+    assert ir.parse_routing(route)[-1][0] == words[-1].encode("utf-16-be")
+    assert ir.parse_entry(ir.entry(b"x" * 300, {1: 5}), 0) == (b"x" * 254, {1: 5})
