@@ -34,8 +34,9 @@ CAPACITY = 1024
 END_ID = 2
 #: Nodes of the search; the incumbent stands if they don't suffice.
 NODES = 3000
-#: Fillings tried at a node.
+#: Fillings tried at a node, and pieces beside the largest in each.
 BRANCHES = 3
+MOST_BESIDE = 4
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -85,36 +86,52 @@ def fillings(have: np.ndarray, largest: int, capacity: int, most: int = BRANCHES
     room, found = capacity - largest, []
     if room <= 0:
         return [()]
-    lengths = np.flatnonzero(have[: min(room, largest) + 1])[::-1]
-    if not len(lengths):
+    lengths = np.flatnonzero(have[: min(room, largest) + 1])[::-1].tolist()
+    if not lengths:
         return [()]
-    some = set(lengths.tolist())
-    single = int(lengths[0])  # the largest that fits dominates all with its sum or less
+    single = lengths[0]  # the largest that fits dominates all with its sum or less
+    # Bit t of sums[k] tells whether k pieces can have the sum t.
+    sums, mask = [1], (1 << room + 1) - 1
+    for _ in range(MOST_BESIDE):
+        more = 0
+        for x in lengths:
+            more |= sums[-1] << x
+        sums.append(more & mask)
     tried = 0
 
     def combine(target: int, items: int, top: int):
         """Exactly items lengths of at most top, with sum target, larger ones first."""
         nonlocal tried
-        if items == 1:
-            if target <= top and target in some:
-                yield (target,)
+        if items == 0:
+            yield ()
             return
-        for a in lengths[np.searchsorted(-lengths, -min(top, target - items + 1)) :].tolist():
-            tried += 1
-            if a * items < target or tried > 400:
+        for x in lengths:
+            if x > top or not x <= target:
+                continue
+            if x * items < target or tried > 400:
                 return
-            for rest in combine(target - a, items - 1, a):
-                yield (a, *rest)
-
-    for target in range(room, single - 1, -1):
-        for items in (1, 2, 3, 4):
-            tried = 0
-            for f in combine(target, items, room):
-                if all(f.count(x) <= have[x] for x in set(f)):
+            tried += 1
+            if sums[items - 1] >> target - x & 1:
+                for rest in combine(target - x, items - 1, x):
+                    yield (x, *rest)
+
+    reachable = 0
+    for k in range(1, MOST_BESIDE + 1):
+        reachable |= sums[k]
+    reachable &= ~((1 << single) - 1)
+    while reachable and len(found) < most:
+        target = reachable.bit_length() - 1
+        reachable ^= 1 << target
+        for items in range(1, MOST_BESIDE + 1):
+            if sums[items] >> target & 1:
+                tried = 0
+                fits = (f for f in combine(target, items, room) if all(f.count(x) <= have[x] for x in set(f)))
+                if f := next(fits, None):
                     found.append(f)
-                    break
-            if len(found) >= most or (found and target == room and len(found[0]) == 1):
-                return found[:most]
+            if found and len(found[-1]) == 1 and sum(found[-1]) == target:
+                break
+        if found and target == room and len(found[0]) == 1:
+            break
     return found[:most] or [(single,)]
 
 
