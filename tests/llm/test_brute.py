@@ -313,3 +313,29 @@ def test_pipeline(spark):
     items = [r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     leaked = {r.doc_id for r in docs if any(x in r.text for x in items)}
     assert alone - leaked <= {r.doc_id for r in got} and not leaked & {r.doc_id for r in got}
+
+
+def test_op2_query(spark):
+    want = []
+    for r in texts(spark).collect():
+        w = r.text.encode().split()
+        lines = [x for x in r.text.split("\n") if x.encode().split()]
+        threes = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        hit = {p for k, t in enumerate(threes) if threes.count(t) > 1 for p in (k, k + 1, k + 2)}
+        want.append((r.doc_id, len(w), sum(len(x.decode()) for x in w), sum(r.text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(hit), len(w) < 50 or 100 * len(hit) > 50 * len(w)))
+    got = quality_rules.op2_quality_rules(spark, SMALL).collect()
+    assert sorted(tuple(r)[:7] for r in got) == sorted(want)
+    assert not any(r.kept for r in got if r.base_failed)
+
+
+def test_op5_query(spark):
+    enc = encoder.encoder(encoder.default_path())
+    want = [(r.doc_id, len(r.text.encode()), n := len(enc.library.encode(r.text, add_special_tokens=False).ids), n > 1024) for r in texts(spark).collect()]
+    assert sorted(map(tuple, token_counts.op5_token_counts(spark, SMALL).collect())) == sorted(want)
+
+
+def test_op1_query(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    whole = {(r.doc_id, i) for r in texts(spark).collect() for i, x in items if x in r.text}
+    got = decontaminate.op1_decontaminate(spark, SMALL).collect()
+    assert whole and whole <= {(r.doc_id, r.item_id) for r in got} and all(r.score >= 0.5 for r in got)
