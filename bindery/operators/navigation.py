@@ -24,15 +24,16 @@ def tree(points: DataFrame, by: str = "pkg_id") -> DataFrame:
     """by, ord, depth (clamped) -> parent, breadth-first number, and the end of the subtree.
 
     The parent is the last point before with one depth less; the subtree ends at the next point of
-    the same depth or less. Both are running extremes over one ordering of the group."""
-    before = Window.partitionBy(by).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = points.withColumn("__path", F.collect_list(F.struct("depth", "ord")).over(before))
-    parent = F.element_at(F.filter("__path", lambda p: p.depth == F.col("depth") - 1), -1)
-    after = Window.partitionBy(by).orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("parent", F.when(F.col("depth") > 0, parent.ord)).drop("__path")
-    rows = rows.withColumn("__next", F.collect_list(F.struct("ord", "depth")).over(after))
-    rows = rows.withColumn("subtree_end", F.get(F.filter("__next", lambda p: p.depth <= F.col("depth")), 0).ord).drop("__next")
-    return rows.withColumn("bfs_no", F.row_number().over(Window.partitionBy(by).orderBy("depth", "ord")) - 1)
+    the same depth or less. A book's points are held once, as an ordered list."""
+    rows = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "depth"))).alias("pts"))
+
+    def placed(p):
+        parent = F.try_element_at(F.filter("pts", lambda q: (q.ord < p.ord) & (q.depth == p.depth - 1)), F.lit(-1)).ord
+        end = F.get(F.filter("pts", lambda q: (q.ord > p.ord) & (q.depth <= p.depth)), F.lit(0)).ord
+        return F.struct(p.ord.alias("ord"), p.depth.alias("depth"), parent.alias("parent"), end.alias("subtree_end"))
+
+    out = rows.select(by, F.explode(F.transform("pts", placed)).alias("x")).select(by, "x.*")
+    return out.withColumn("bfs_no", F.row_number().over(Window.partitionBy(by).orderBy("depth", "ord")) - 1)
 
 
 def first_inversion(rows: DataFrame, by: str, order: str, place: str) -> DataFrame:
