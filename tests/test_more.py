@@ -64,3 +64,22 @@ def test_pixels(spark):
     assert (pixels.smoothed(np.full((5, 5), 8, np.uint8)) == 8).all()
     df = spark.createDataFrame([("p", 1, 100, 80, page.tobytes())], "pkg_id string, page_no int, height int, width int, data binary")
     assert pixels.panel_table(df).count() == 3 and pixels.prepared(df, 40, 40).count() == 1
+
+
+def test_assembly_and_balance(spark):
+    from bindery.operators import assembly
+    from bindery.rules import balance
+
+    rows = [("p", k, f"<idx:entry><b>wört{k}</b> text<hr/> more</idx:entry>") for k in range(3)]
+    placed = assembly.entry_text(spark.createDataFrame(rows, "pkg_id string, k int, html string"), ["k"])
+    text = bytes(assembly.package_text(placed).first().content)
+    for r in placed.collect():
+        own = text[r.offset : r.offset + r.size].decode()
+        assert own == f"<b>wört{r.k}</b> text<hr/> more<hr/>" and text[r.offset : r.offset + r.text_len].decode() == f"<b>wört{r.k}</b> text"
+    long = spark.createDataFrame([("p", ("a" * 4095 + "é<b>x").encode())], "pkg_id string, content binary")
+    recs = assembly.split_words(assembly.text_records(long))
+    assert [(r.rec_no, len(r.bytes), r.overlap) for r in recs.orderBy("rec_no").collect()] == [(0, 4096, 0), (1, 5, 1)]
+    assert balance.unbalanced("<p><b>x</p></i><br><u/>") == ["b", "/i"] and balance.unbalanced("<p>") == ["p"]
+    assert balance.findings(spark.createDataFrame([("p", "f", "<p></b>")], "pkg_id string, file string, text string")).count() == 2
+    cut = spark.createDataFrame([("p", 0, b"a <b"), ("p", 1, b">x</b>"), ("p", 2, b"y")], "pkg_id string, rec_no int, bytes binary")
+    assert [r.rec_no for r in balance.cut_tags(cut).collect()] == [0]
