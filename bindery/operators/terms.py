@@ -17,12 +17,12 @@ def build_terms(entries: DataFrame, pkg: str = "pkg_id", strict_accents: bool =
     left out, the first of equal ones counts and none overrides a headword; aliases without
     stress marks, in lower case (unless strict_accents), and with plain spaces come last. Labels are
     pre-aggregated, so a label that a third of all entries share is one row to each task."""
-    place = lambda tier, ord_: F.struct(F.lit(tier).alias("tier"), ord_.alias("rank"), F.col("entry_ord"))
-    heads = entries.select(pkg, F.col("headword").alias("label"), place(HEADWORD, -F.col("entry_ord")).alias("p"))
+    place = lambda tier, ord_, k: F.struct(F.lit(tier).alias("tier"), ord_.alias("rank"), k.alias("k"), F.col("entry_ord"))
+    heads = entries.select(pkg, F.col("headword").alias("label"), place(HEADWORD, -F.col("entry_ord"), F.lit(0)).alias("p"))
     forms = entries.select(pkg, "entry_ord", F.posexplode("inflections").alias("k", "label")).where(~F.col("label").rlike(r"[()\[\]{}]"))
-    forms = forms.select(pkg, "label", place(INFLECTION, F.col("entry_ord") * 65536 + F.col("k")).alias("p"))
+    forms = forms.select(pkg, "label", place(INFLECTION, F.col("entry_ord"), F.col("k")).alias("p"))
     base = heads.unionByName(forms)
-    alias = lambda df, tier, x: df.select(pkg, x.alias("label"), F.struct(F.lit(tier).alias("tier"), F.col("p.rank").alias("rank"), F.col("p.entry_ord").alias("entry_ord")).alias("p"), F.col("label").alias("was")).where("label <> was").drop("was")
+    alias = lambda df, tier, x: df.select(pkg, x.alias("label"), F.struct(F.lit(tier).alias("tier"), F.col("p.rank").alias("rank"), F.col("p.k").alias("k"), F.col("p.entry_ord").alias("entry_ord")).alias("p"), F.col("label").alias("was")).where("label <> was").drop("was")
     more = alias(base, STRESS, strip_stress(F.col("label")))
     if not strict_accents:
         more = more.unionByName(alias(base, CASE, F.lower("label")))

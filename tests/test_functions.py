@@ -149,3 +149,9 @@ def test_index_records(spark):
     assert ir.parse_tag_table(route) == ir.TERM_TAGS and sum(n for _, n in ir.parse_routing(route)) == 500
     assert ir.parse_routing(route)[-1][0] == words[-1].encode("utf-16-be")
     assert ir.parse_entry(ir.entry(b"x" * 300, {1: 5}), 0) == (b"x" * 254, {1: 5})
+
+
+def test_precedence_of_long_form_lists(spark):
+    forms = [f"f{k}" for k in range(65541)] + ["late"]
+    e = spark.createDataFrame([("p", 0, "a", forms), ("p", 1, "b", ["late"])], "pkg_id string, entry_ord long, headword string, inflections array<string>")
+    assert terms.build_terms(e).where("label = 'late'").first().entry_ord == 0
