@@ -3,11 +3,16 @@
 A sequence's filling depends on lengths alone, so the search runs on the histogram of lengths
 (one count for each length up to the capacity, whatever the corpus), and a filling is used as
 often as its lengths last. Around the largest length left, the undominated fillings are
-enumerated from the least waste on: a filling of one length stands for all fillings that
-fit inside it. A depth-first search takes them in that order; a branch ends where the
-sequences used and the lower bound of what is left reach the incumbent, which is
-best-fit decreasing at first. Pieces then find their places by their rank among the
-pieces of their length, from counts per task, so nothing is sorted or gathered.
+enumerated from the least waste on, one at a time as the depth-first search asks for them: a
+filling is dominated if lengths of it could be put together into one that is left, or if one that
+is left is larger and fits too. A branch ends where its waste exceeds what the sequences
+aimed at leave over. The incumbent is best-fit decreasing at first, and the search aims at one less.
+
+The search over a whole table is cut after NODES nodes. Then ROUNDS searches over a few sequences of
+the incumbent each follow, by the same bin completion: free space is a piece of its own, which grows
+in one sequence from round to round, until that one is empty. Where the incumbent doesn't reach the
+lower bound, solved() says so, and pack() logs it. Pieces then find their places by their
+rank among the pieces of their length, from counts per task, so nothing is sorted or gathered.
 
 A document is its ids and an end id. Only one longer than the capacity is cut: into
 full pieces after a first one that may be shorter.
@@ -18,8 +23,10 @@ packed each for itself; no rows give no pieces.
 
 from __future__ import annotations
 
+import logging
+import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import partial
 
 import numpy as np
@@ -32,11 +39,14 @@ from .encoder import default_path, encoded, encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Nodes of the search; the incumbent stands if they don't suffice.
+#: Nodes of the search over a whole table, and of one over a few sequences.
 NODES = 3000
-#: Fillings tried at a node, and pieces beside the largest in each.
-BRANCHES = 3
-MOST_BESIDE = 4
+ROUND_NODES = 200
+#: Searches over a few sequences, and how many sequences each has.
+ROUNDS = 2500
+FEW = (6, 8, 10, 16)
+
+_log = logging.getLogger(__name__)
 
 Pattern = tuple[int, tuple[int, ...]]
 
@@ -78,96 +88,181 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(times, pattern) for group in open_.values() for pattern, times in group]
 
 
-def fillings(have: np.ndarray, largest: int, capacity: int, most: int = BRANCHES) -> list[tuple[int, ...]]:
-    """Undominated fillings beside a piece of the largest length, the least waste first.
+def fillings(have: list[int], largest: int, room: int, slack: int, steps: list[int]):
+    """Undominated fillings beside a piece of the largest length, with waste up to slack, the least first.
 
-    have: counts without that piece. Of fillings with equal waste, those with fewer and larger
-    pieces come first; one that a found single length contains is dominated and left out."""
-    room, found = capacity - largest, []
-    if room <= 0:
-        return [()]
-    lengths = np.flatnonzero(have[: min(room, largest) + 1])[::-1].tolist()
+    have: counts without that piece; they are changed and restored while the generator runs.
+    steps[0] counts down the lengths tried."""
+    lengths = [x for x in range(min(room, largest), 0, -1) if have[x]]
     if not lengths:
-        return [()]
-    single = lengths[0]  # the largest that fits dominates all with its sum or less
-    # Bit t of sums[k] tells whether k pieces can have the sum t.
-    sums, mask = [1], (1 << room + 1) - 1
-    for _ in range(MOST_BESIDE):
-        more = 0
-        for x in lengths:
-            more |= sums[-1] << x
-        sums.append(more & mask)
-    tried = 0
-
-    def combine(target: int, items: int, top: int):
-        """Exactly items lengths of at most top, with sum target, larger ones first."""
-        nonlocal tried
-        if items == 0:
+        if room <= slack:
             yield ()
-            return
-        for x in lengths:
-            if x > top or not x <= target:
-                continue
-            if x * items < target or tried > 400:
+        return
+    # Bit t of reach[j] tells whether lengths[j:] can have the sum t.
+    mask, sums, reach = (1 << room + 1) - 1, 1, [0] * len(lengths)
+    for j in range(len(lengths) - 1, -1, -1):
+        x, left, k = lengths[j], min(have[lengths[j]], room // lengths[j]), 1
+        while left > 0:
+            sums |= sums << min(k, left) * x & mask
+            left -= k
+            k *= 2
+        reach[j] = sums
+    there = sum(1 << x for x in lengths)
+
+    def combine(target: int, j: int):
+        if not target:
+            yield ()
+        for i in range(j, len(lengths) if target else j):
+            x = lengths[i]
+            if not reach[i] >> target & 1:
                 return
-            tried += 1
-            if sums[items - 1] >> target - x & 1:
-                for rest in combine(target - x, items - 1, x):
-                    yield (x, *rest)
-
-    reachable = 0
-    for k in range(1, MOST_BESIDE + 1):
-        reachable |= sums[k]
-    reachable &= ~((1 << single) - 1)
-    while reachable and len(found) < most:
-        target = reachable.bit_length() - 1
-        reachable ^= 1 << target
-        for items in range(1, MOST_BESIDE + 1):
-            if sums[items] >> target & 1:
-                tried = 0
-                fits = (f for f in combine(target, items, room) if all(f.count(x) <= have[x] for x in set(f)))
-                if f := next(fits, None):
-                    found.append(f)
-            if found and len(found[-1]) == 1 and sum(found[-1]) == target:
-                break
-        if found and target == room and len(found[0]) == 1:
-            break
-    return found[:most] or [(single,)]
+            if x > target or not have[x] or not reach[i] >> target - x & 1:
+                continue
+            steps[0] -= 1
+            have[x] -= 1
+            for rest in combine(target - x, i):
+                have[x] += 1
+                yield (x, *rest)
+                have[x] -= 1
+            have[x] += 1
 
+    for target in range(room, max(lengths[0], room - slack) - 1, -1):
+        if reach[0] >> target & 1:
+            for f in combine(target, 0):
+                left, some, several = there, 1, 0  # sums of any pieces of f, and of two or more
+                for x in f:
+                    several |= several << x | (some & ~1) << x
+                    some |= some << x
+                for x in set(f):
+                    if have[x] <= f.count(x):
+                        left &= ~(1 << x)
+                if not several & left and not any(some << d & left for d in range(1, room - target + 1)):
+                    yield f
 
-def solve(counts, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """(how often, lengths) of the fillings; every counted length is used exactly."""
-    counts = np.asarray(counts, np.int64).copy()
-    bound = lower_bound(counts, capacity)
-    best = best_fit_decreasing(counts, capacity)
-    best_n = sum(m for m, _ in best)
-    stack = [(counts, 0, None)]
-    while stack and nodes and best_n > bound:
+
+def search(counts, target: int, nodes: int, capacity: int = CAPACITY) -> tuple[list[Pattern] | None, bool]:
+    """Fillings of at most target sequences, or None; and whether that is proven."""
+    have = [int(n) for n in counts]
+    steps, slack = [60 * nodes], target * capacity - sum(x * n for x, n in enumerate(have))
+    if slack < 0:
+        return None, True
+    stack: list[list] = []  # largest length, its fillings, the filling in use and how often
+
+    def opened() -> bool:
+        top = stack[-1][0] if stack else capacity
+        while top and not have[top]:
+            top -= 1
+        if top:
+            stack.append([top, fillings(have, top, capacity - top, slack, steps), None, 0])
+        return bool(top)
+
+    def use(pattern: tuple[int, ...], times: int) -> None:
+        nonlocal slack
+        for x in pattern:
+            have[x] -= times
+        slack -= (capacity - sum(pattern)) * times
+
+    if not opened():
+        return [], True
+    while stack:
+        node = stack[-1]
+        top, choices, pattern, times = node
         nodes -= 1
-        have, used, trail = stack.pop()
-        top = np.flatnonzero(have)
-        if not len(top):
-            if used < best_n:
-                best_n, best = used, []
-                while trail:
-                    best.append(trail[0])
-                    trail = trail[1]
+        if nodes < 0 or steps[0] < 0:
+            return None, False
+        if times > 1:  # the same filling once less, and another for the rest
+            use(pattern, -1)
+            node[3] -= 1
+        else:
+            if times:
+                use(pattern, -1)
+            node[2:] = None, 0
+            have[top] -= 1
+            f = next(choices, None)
+            have[top] += 1
+            if f is None:
+                stack.pop()
+                continue
+            pattern = (top, *f)
+            waste = capacity - sum(pattern)
+            times = min([have[x] // pattern.count(x) for x in set(pattern)] + ([slack // waste] if waste else []))
+            if times < 1:
+                continue
+            use(pattern, times)
+            node[2:] = pattern, times
+        if not opened():
+            return [(n[3], n[2]) for n in stack], True
+    return None, True
+
+
+def _improved(best: list[Pattern], bound: int, capacity: int, rounds: int) -> list[Pattern]:
+    """best, or fewer sequences: a few at a time are packed anew, so that free space gathers in one."""
+    rng, pool = random.Random(0), Counter()
+    for times, pattern in best:
+        pool[tuple(pattern)] += times
+    spare = min(pool, key=lambda p: (sum(p), p))
+    for k in range(rounds):
+        if sum(pool.values()) <= bound:
+            break
+        few = rng.choice(FEW)
+        others = sorted(p for p, m in pool.items() if sum(p) < capacity and (p != spare or m > 1))
+        some = rng.sample(others, min(len(others), few // 2))
+        full = sorted(p for p in pool if sum(p) == capacity and len(p) > 1)
+        some += rng.sample(full, min(len(full), few - 1 - len(some)))
+        free = capacity - sum(spare)
+        waste = sum(capacity - sum(p) for p in some)
+        goal = min(capacity, free + (waste if k % 2 else max(1, waste // 2)))
+        if not waste:
             continue
-        if used + lower_bound(have, capacity) >= best_n:
+        counts = [0] * (capacity + 1)
+        for x in (x for p in (spare, *some) for x in p):
+            counts[x] += 1
+        if goal < capacity:
+            counts[goal] += 1
+        found, _ = search(counts, len(some) + (goal < capacity), ROUND_NODES, capacity)
+        if found is None:
             continue
-        largest = int(top[-1])
-        have[largest] -= 1
-        choices = fillings(have, largest, capacity)
-        have[largest] += 1
-        for f in reversed(choices):
-            pattern = (largest, *f)
-            uses = {x: pattern.count(x) for x in set(pattern)}
-            m = min(int(have[x]) // k for x, k in uses.items())
-            after = have.copy()
-            for x, k in uses.items():
-                after[x] -= k * m
-            stack.append((after, used + m, ((m, pattern), trail)))
-    return best
+        taken = Counter([spare, *some])
+        often = min(pool[p] // m for p, m in taken.items())  # as often as these sequences are there
+        made = [p for times, p in found for _ in range(times)]
+        if goal < capacity:
+            at = next(j for j, p in enumerate(made) if goal in p)
+            kept = list(made.pop(at))
+            kept.remove(goal)
+            made += [tuple(kept)] if kept else []
+        for p, m in taken.items():
+            pool[p] -= m * often
+        for p in made:
+            pool[p] += often
+        pool = +pool
+        spare = min(pool, key=lambda p: (sum(p), p))
+    return [(m, p) for p, m in pool.items()]
+
+
+def solved(counts, capacity: int = CAPACITY, nodes: int = NODES, rounds: int = ROUNDS) -> tuple[list[Pattern], int, bool]:
+    """(how often, lengths) of the fillings, the lower bound, and whether they are proven to be the fewest.
+
+    Every counted length is used exactly."""
+    counts = np.asarray(counts, np.int64)
+    bound, best = lower_bound(counts, capacity), best_fit_decreasing(counts, capacity)
+    proven = False
+    while not proven:
+        n = sum(m for m, _ in best)
+        if n <= bound:
+            return best, bound, True
+        found, proven = search(counts, n - 1, nodes, capacity)
+        if found is None:
+            break
+        best, proven = found, False
+    if proven:
+        return best, bound, True
+    fewer = _improved(best, bound, capacity, rounds)
+    return fewer, bound, sum(m for m, _ in fewer) <= bound
+
+
+def solve(counts, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+    """The fillings of solved()."""
+    return solved(counts, capacity, nodes)[0]
 
 
 def _pieces(batches, path: str, end_id: int, capacity: int, with_ids: bool):
@@ -226,7 +321,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     counts = np.zeros(capacity + 1, np.int64)
     for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         counts[r.length] = r.n
-    places = _places(solve(counts, capacity))
+    best, bound, proven = solved(counts, capacity)
+    if not proven:
+        _log.warning("%d sequences; no fewer than %d are possible", sum(m for m, _ in best), bound)
+    places = _places(best)
     ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("length", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
     ranked = pieces.join(base, ["length", "task"]).withColumn("at", F.col("rank") + F.col("base"))
