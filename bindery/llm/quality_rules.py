@@ -25,8 +25,6 @@ from . import common
 MIN_REPEAT = 4
 MAX_COVERED = 0.3
 MAX_REPEAT = 100
-#: The longest common prefixes are compared up to this many words; a longer repeat is one
-#: that is as long at least, which is above any limit in use.
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 
 
@@ -187,4 +185,29 @@ def keep_good(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat: int
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(common.documents(spark, sf_dir))
+    return quality_rules(common.documents(spark, sf_dir)).drop("longest_repeat")
+
+
+def oracle_sql(max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, least: int = MIN_REPEAT) -> str:
+    """The query's rows by SQL. The words that repeats of least words or more cover are those of the
+    runs of least words that occur twice; a repeat is too long if a longer run occurs twice."""
+    word = r"[^\x20\x09-\x0D]+"
+
+    def covered(name: str, n: int) -> str:
+        return f"""{name}_at AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM
+        (SELECT r, i, md5(array_to_string(w[i:i + {n - 1}], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d))),
+      {name} AS (SELECT r, count(DISTINCT i + j) AS n FROM {name}_at, (SELECT unnest(range({n})) AS j) WHERE n > 1 GROUP BY r)"""
+
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+      lines AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{word}') GROUP BY r),
+      {covered("threes", 3)},
+      {covered("spans", least)},
+      {covered("longest", max_repeat + 1)},
+      m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+          CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+          CAST(coalesce(threes.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(spans.n, 0) AS BIGINT) AS n_covered_words, longest.n IS NOT NULL AS too_long
+        FROM d LEFT JOIN lines USING (r) LEFT JOIN threes USING (r) LEFT JOIN spans USING (r) LEFT JOIN longest USING (r)),
+      b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+      NOT base_failed AND n_covered_words <= CAST({max_covered} AS DOUBLE) * n_words AND NOT too_long AS kept, n_covered_words FROM b"""

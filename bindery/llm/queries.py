@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import quality_rules, substring_dedup
 from .decontaminate import op1_decontaminate
 from .language_id import op9_language_id
 from .packing import op8_packing
@@ -29,6 +30,6 @@ QUERIES = {
     )
 }
 
-#: Each method here works on token ids, suffix arrays, hashes or trained models, which SQL
-#: can't express; tests/llm holds them against brute force, round trips and held-out rows.
-ORACLE_SQL: dict[str, str] = {}
+#: The other methods work on token ids, hashes, alignments or trained models, which SQL can't
+#: express; tests/llm holds them against brute force, round trips and held-out rows.
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": quality_rules.oracle_sql(), "op7_substring_dedup": substring_dedup.oracle_sql()}

@@ -6,14 +6,16 @@ in a document with a smaller id is removed; windows are judged on the input.
 Not every window is shuffled. Every window of 50 words elects, of its 39 runs of 12 words, the
 one with the least hash, so equal windows elect equal runs: an elected run that occurs in
 one text only (elections are about a twentieth of the words) proves that no window electing
-it repeats. Only windows that elected a run found in two different texts are hashed to 96
-bits and counted: their least ids by a pre-aggregated grouping, joined back to
-the windows. Equal texts take part once, as the smallest id's; the others of 50 words or
-more are removed whole, as the smallest id has all their windows. The starts of a row's
-repeated windows merge into maximal intervals.
+it repeats. Every window that elected a run found in two different texts is hashed to 96
+bits and counted in Spark: the least ids by a pre-aggregated grouping, joined back to
+the windows. So a window that isn't counted is one that is proven to be alone; counting all of them
+would shuffle some 40 bytes for each word of the corpus. Equal texts take part once, as the
+smallest id's; the others of 50 words or more are removed whole, as the smallest id has all their
+windows. The starts of a row's repeated windows merge into maximal intervals.
 
-Hot passages: groupings keep only least ids, which are pre-aggregated; the joins
-back have unique keys on one side, so Spark can split the other.
+Hot passages: groupings keep only least ids, which are pre-aggregated; elections, windows and
+least ids are tables of their own, so the joins back read two plain exchanges with unique keys
+on one side, and Spark can split the other.
 
 Defined results: a null text has no words; a row with a null id neither loses words nor
 makes others lose them; rows of one id, repeated or not, take nothing from one another;
@@ -80,7 +82,7 @@ def _windows(batches, text_col: str, id_col: str, window: int, run: int):
     for batch in batches:
         name = batch.schema.get_field_index
         parts = []
-        for doc_id, tag, at, text in zip(batch.column(name(id_col)).to_pylist(), batch.column(name(_KEY)).to_pylist(), batch.column(name(_AT)), common.texts_of(batch, text_col)):
+        for doc_id, key, at, text in zip(batch.column(name(id_col)).to_pylist(), batch.column(name(_KEY)).to_pylist(), batch.column(name(_AT)), common.texts_of(batch, text_col)):
             words = _words(text)[3]
             _, chosen = elected(words, window, run)
             live = np.zeros(len(words), bool)
@@ -88,9 +90,9 @@ def _windows(batches, text_col: str, id_col: str, window: int, run: int):
             starts = np.flatnonzero(live[chosen])
             h1 = common.window_hashes(words, window, _BASE)[starts].view(np.int64)
             h2 = (common.window_hashes(words, window, _BASE2)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            parts.append((h1, h2, np.full(len(starts), doc_id, np.int64), starts | ((tag & 0xFFFFFF) << 32)))
+            parts.append((h1, h2, np.full(len(starts), doc_id, np.int64), np.full(len(starts), key, np.int64), starts.astype(np.int32)))
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(4)], ["h1", "h2", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(5)], ["h1", "h2", "doc_id", "key", "start"])
 
 
 def _removed(n_words: int, window: int, doc_id: int, first: int | None, starts: list[int] | None) -> np.ndarray:
@@ -99,7 +101,7 @@ def _removed(n_words: int, window: int, doc_id: int, first: int | None, starts:
         return np.ones(n_words, bool)
     edge = np.zeros(n_words + 1, np.int64)
     if starts is not None and len(starts):
-        at = np.unique(np.asarray(starts, np.int64) & 0xFFFFFFFF)
+        at = np.unique(np.asarray(starts, np.int64))
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
     return np.cumsum(edge[:-1]) > 0
@@ -146,7 +148,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_co
     Row keys are the id and a hash of the text, so rows of one id may differ."""
     columns = docs.columns
     usable = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).withColumn(_KEY, F.xxhash64(text_col))
-    found = usable.select(F.col(_KEY).alias("key"), F.col(text_col).alias("text")).mapInArrow(partial(_elections, window=window, run=run), "run long, key long, at int")
+    elections = usable.select(F.col(_KEY).alias("key"), F.col(text_col).alias("text")).mapInArrow(partial(_elections, window=window, run=run), "run long, key long, at int")
+    found = common.written(elections, "elections")
     # A table of its own, so that the join reads two plain exchanges and Spark can split a hot run.
     twice = common.written(found.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("run"), "twice")
     hits = common.written(found.join(twice, "run").groupBy("key").agg(F.collect_set("at").alias(_AT)), "runs")
@@ -157,13 +160,12 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_co
     renamed = lambda df: df.withColumnsRenamed({"doc_id": id_col, "key": _KEY, "first": _FIRST})
     # Two texts of one key, which are as good as never met, keep the smaller first: only a copy of it can have it as its id.
     firsts = rows.where("doc_id = first").join(hits, "key").select(F.col("doc_id").alias(id_col), F.col("key").alias(_KEY), _AT)
-    kinds = StructType.fromDDL("h1 long, h2 int, doc_id long, start long")
-    live = usable.join(firsts, [id_col, _KEY]).mapInArrow(partial(_windows, text_col=text_col, id_col=id_col, window=window, run=run), kinds)
+    kinds = StructType.fromDDL("h1 long, h2 int, doc_id long, key long, start int")
+    live = common.written(usable.join(firsts, [id_col, _KEY]).mapInArrow(partial(_windows, text_col=text_col, id_col=id_col, window=window, run=run), kinds), "windows")
     least = live.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h1", "h2", "least")
-    repeated = live.join(least, ["h1", "h2"]).where("doc_id > least")
-    starts = repeated.groupBy(F.col("doc_id").alias(id_col), F.shiftright("start", 32).alias("__tag")).agg(F.collect_set("start").alias(_STARTS))
-    copies = renamed(rows)
-    marks = copies.withColumn("__tag", F.col(_KEY).bitwiseAND(F.lit(0xFFFFFF))).join(starts, [id_col, "__tag"], "left").drop("__tag")
+    repeated = live.join(common.written(least, "least"), ["h1", "h2"]).where("doc_id > least")
+    starts = repeated.groupBy(F.col("doc_id").alias(id_col), F.col("key").alias(_KEY)).agg(F.collect_set("start").alias(_STARTS))
+    marks = renamed(rows).join(starts, [id_col, _KEY], "left")
     joined = usable.join(marks, [id_col, _KEY], "left").select(*columns, _FIRST, _STARTS)
     schema = StructType([*docs.schema.fields]).add("__n_words", "long").add("__n_removed", "long")
     done = joined.mapInArrow(partial(_applied, text_col=text_col, id_col=id_col, window=window, columns=columns), schema)
@@ -187,3 +189,18 @@ def _digests(batches):
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(common.id_and_text(common.documents(spark, sf_dir)))
     return done.mapInArrow(_digests, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The same rows by SQL, for small tables: every window as its words."""
+    return rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    h AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + {window - 1}], ' ')) AS k FROM (SELECT *, unnest(range(1, len(w) - {window - 2})) AS i FROM d)),
+    f AS (SELECT k, min(doc_id) AS least FROM h GROUP BY k),
+    x AS (SELECT h.r, h.i FROM h JOIN f USING (k) WHERE least < h.doc_id),
+    g AS (SELECT DISTINCT r, i + j AS p FROM x, (SELECT unnest(range({window})) AS j)),
+    words AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN g USING (r, p) GROUP BY r),
+    gone AS (SELECT r, count(*) AS n FROM g GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r) LEFT JOIN gone USING (r)"""

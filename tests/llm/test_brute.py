@@ -52,6 +52,36 @@ def test_simple8b_round_trip(top):
     assert len(token_store.pack(np.zeros(240, np.uint64))[0]) == 32
 
 
+def test_parts_of_a_block():
+    rng = random.Random(12)
+    for top in (4, 16, 63):
+        ids = np.array([rng.randrange(1 << rng.randrange(1, top + 1)) for _ in range(5000)], np.uint64)
+        words, escaped, offsets = token_store.pack(ids)
+        for _ in range(40):
+            a, b = sorted(rng.randrange(5001) for _ in range(2))
+            assert (token_store.unpack_part(words, escaped, offsets, a, b) == ids[a:b]).all()
+
+
+def test_read_range(spark, tmp_path):
+    docs, path = texts(spark), str(tmp_path / "t")
+    token_store.write_tokens(docs, path, shards=3)
+    every = b"".join(r.ids for r in token_store.read_tokens(spark, path, with_ids=True).orderBy("start").collect())
+    for a, b in ((0, 10), (70_000, 140_001), (len(every) // 4 - 5, len(every) // 4 + 9)):
+        rows = token_store.read_range(spark, path, a, b).orderBy("start").collect()
+        assert b"".join(r.ids for r in rows) == every[4 * a : 4 * b] and rows[0].start == a
+
+
+def test_merges_of_odd_and_long_texts():
+    enc, rng, group = encoder.encoder(encoder.default_path()), random.Random(13), encoder.GROUP
+    some = ["".join(rng.choice("abcdeé×÷ñŁ.,!?'\"  \n\n1$ſ µß") for _ in range(rng.randrange(1, 80))) for _ in range(400)] + ["A×b ÷ c", "x" * 64 + " " + "é" * 40, "a\0b c", "word " * 300]
+    try:
+        for encoder.GROUP in (group, 64):
+            for t, ids in zip(some, enc.encode_all(some)):
+                assert np.frombuffer(ids, "<u4").tolist() == enc.library.encode(t, add_special_tokens=False).ids
+    finally:
+        encoder.GROUP = group
+
+
 def test_token_store_equals_library(spark):
     enc = encoder.encoder(encoder.default_path())
     start, want = 0, []
@@ -269,6 +299,36 @@ def test_bin_completion_is_optimal_on_small_cases():
         assert packing.lower_bound(counts, 20) <= brute_bins(items, 20)
 
 
+def test_bin_completion_beyond_small_cases():
+    rng = random.Random(14)
+    for k in range(60):
+        if k % 3 == 0:  # full sequences of six to eight pieces, cut at random
+            items = []
+            for _ in range(rng.randrange(3, 6)):
+                cuts = sorted(rng.sample(range(1, 60), rng.randrange(5, 8)))
+                items += [b - a for a, b in zip([0, *cuts], [*cuts, 60])]
+            least = sum(items) // 60
+        else:
+            items = [rng.randrange(8, 45) for _ in range(rng.randrange(10, 15))]
+            least = brute_bins(sorted(items, reverse=True), 60)
+        best, bound, proven = packing.solved(np.bincount(items, minlength=61), 60)
+        assert sorted(x for m, p in best for x in p * m) == sorted(items) and all(sum(p) <= 60 for _, p in best)
+        assert proven and sum(m for m, _ in best) == least >= bound
+
+
+def test_packing_of_whole_histograms():
+    rng = np.random.default_rng(15)
+    counts = np.bincount(rng.integers(1, 1025, 1500), minlength=1025)
+    best, bound, _ = packing.solved(counts)
+    used = np.zeros(1025, int)
+    for m, p in best:
+        assert sum(p) <= 1024
+        np.add.at(used, list(p), m)
+    assert (used == counts).all() and sum(m for m, _ in best) <= bound + 1
+    many, bound, _ = packing.solved(counts * 10**6)
+    assert sum(m for m, _ in many) <= 1.0014 * bound
+
+
 def test_phrases():
     rng = random.Random(10)
     for _ in range(150):
