@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, near_copies
 from .common import written
 from .components import connected_components
 
@@ -47,10 +47,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     shingles = [words] if len(words) < shingle else zip(*(words[k:] for k in range(shingle)))
-    h = np.array([digest(b" ".join(s), SEED) for s in shingles], "<u8")
+    return majority(np.array([digest(b" ".join(s), SEED) for s in shingles], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as an unsigned number."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 14):
-        ones += np.unpackbits(h[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(np.ascontiguousarray(h[k : k + (1 << 14)], "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
@@ -179,28 +183,26 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BU
     return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-_FP = "__bindery_fp"
-
-
-def _with_print(batches, text_col: str, shingle: int):
-    for batch in batches:
-        yield batch.append_column(_FP, _prints(common.texts_of(batch, text_col), shingle))
+def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, of the smallest id of each component of near duplicates.
 
+    Near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more. The
+    fingerprints of these shingles are linked as above; each component of them is a group whose
+    links are confirmed on the sets. Pairs of that similarity mostly differ in more bits than
+    any pigeonring key can bear, so what the fingerprints leave apart goes through the groups of
+    shared shingles (near_copies.py), and no such pair is lost.
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, bucket: int = BUCKET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, of the smallest id of each component.
+    Rows of one id and set are one document, of which one row stays, the one with the least hash of
+    its columns; if an id has several sets in a component, the smallest node stays. Rows without an
+    id all stay."""
 
-    Rows of one id and fingerprint are one document, of which one row stays; if an id has several
-    fingerprints in a component, the smallest stays. Rows without an id all stay."""
-    from pyspark.sql.types import LongType, StructField, StructType
+    def groups(prefixes: DataFrame) -> DataFrame:
+        """grp, node: the nodes of each component of fingerprints."""
+        nodes = prefixes.where("size > 0").select("node", "fp").distinct()
+        roots = connected_components(hamming_links(nodes.select("fp").distinct(), bucket))
+        return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("grp"), "node")
 
-    schema = StructType([*docs.schema.fields, StructField(_FP, LongType())])
-    printed = docs.mapInArrow(partial(_with_print, text_col=text_col, shingle=shingle), schema)
-    hashed = written(printed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(_FP).alias("fp")), "hashed")
-    first = hashed.join(_components(hashed, bucket), "fp").where("doc_id = component_id")
-    stay = first.groupBy("root", "component_id").agg(F.min("fp").alias(_FP)).select(F.col("component_id").alias(id_col), _FP)
-    one = printed.where(F.col(id_col).isNotNull()).join(stay, [id_col, _FP], "left_semi").dropDuplicates([id_col, _FP])
-    return one.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    return near_copies.keep_one(docs, shingle, id_col, text_col, groups)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
