@@ -155,7 +155,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_co
     hits = common.written(found.join(twice, "run").groupBy("key").agg(F.collect_set("at").alias(_AT)), "runs")
     same = F.struct(F.octet_length(text_col).alias("n"), F.crc32(F.col(text_col).cast("binary")).alias("c"))
     rows = common.written(usable.select(F.col(id_col).cast("long").alias("doc_id"), F.col(_KEY).alias("key"), same.alias("same")), "rows")
-    first = rows.groupBy("key", "same").agg(F.min("doc_id").alias("first"))
+    first = common.written(rows.groupBy("key", "same").agg(F.min("doc_id").alias("first")), "first")
     rows = rows.join(first, ["key", "same"]).select("doc_id", "key", "first").distinct()
     renamed = lambda df: df.withColumnsRenamed({"doc_id": id_col, "key": _KEY, "first": _FIRST})
     # Two texts of one key, which are as good as never met, keep the smaller first: only a copy of it can have it as its id.
