@@ -26,8 +26,13 @@ def test_kana(spark):
 def test_markup(spark):
     entry = '<idx:entry name="d">\n<idx:orth value="w"/><idx:infl><idx:iform value="a/b"/></idx:infl> <a href="content_1.html#hw_x">x</a></idx:entry>'
     assert values(spark, [entry, "<idx:entry></idx:entry>"], lambda x: markup.plain_entry(x, F.lit("h"))) == ['<b>w</b><a href="bword://x">x</a>', "<b>h</b>"]
-    page = f'<?xml version="1.0"?><html xmlns:idx="u"><head><title>t</title></head><body class="c">{entry}</body></html>'
-    assert values(spark, [page], markup.index_text) == ['<b>w</b><a href="content_1.html#hw_x">x</a><hr/>']
+    page = f'<?xml version="1.0"?><html xmlns:idx="u"><head><title>t</title><style>p {{}}</style></head><body class="c">{entry}</body></html>'
+    assert values(spark, [page], markup.index_text) == ['<head><style>p {}</style><guide></guide></head><a href="content_1.html#hw_x">x</a><hr/>']
+    assert markup.indexed('<idx:orth>\n w </idx:orth><b class="k">a</b><i style=\'x\'>c  d</i> <p>e</p><hr/><b>f</b> g <br/> <big>h</big>') == "w <b>a</b> <i>c d</i><p>e</p> <hr/> <b>f</b> g <br/> <big>h</big>"
+    assert markup.indexed("<ol class='x'><li>a</li><li>b</li></ol>") == '<ol><li value="1">a</li><li value="2">b</li></ol>'
+    assert markup.indexed("<head></head>x < y") == "<head><guide></guide></head>x < y"
+    assert markup.listed("", "a<b") == "<b>a&lt;b</b>" and markup.listed("x\n\n \ny<mbp:pagebreak/>", "h") == "x\ny"
+    assert markup.listed('<idx:orth value="w">v</idx:orth> <idx:short>s</idx:short> <a href="#hw_α">z</a> <a href="x#hw_y">q</a>', "h") == 'v s <a href="bword://α">z</a> <a href="x#hw_y">q</a>'
     assert markup.numbered("<ol><li>a<ol><li>b</ol><li value='7'>c<li>d</ol><ul><li>e</ul>") == "<ol><li value=\"1\">a<ol><li value=\"1\">b</ol><li value='7'>c<li value=\"8\">d</ol><ul><li>e</ul>"
     assert values(spark, ["a\\:b{x} c{y}", "c{y}"], markup.escaped_rules_last) == ["c{y}\na\\:b{x}", "c{y}"]
 
