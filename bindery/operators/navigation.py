@@ -2,37 +2,51 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _schema(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
 def clamp_depths(points: DataFrame, by: str = "pkg_id") -> DataFrame:
     """depth := min(depth, previous + 1), the first 0, a null one as the one before. The clamp hands
-    on its result, so the points of one book, a bounded list, are folded in order."""
-    rows = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "depth"))).alias("pts"))
-    zero = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("out"))
+    on its result, so the points of one book, a bounded list, are walked once in order."""
 
-    def step(s, p):
-        d = F.when(s.last < 0, 0).otherwise(F.least(F.coalesce(F.greatest(p.depth.cast("int"), F.lit(0)), s.last), s.last + 1))
-        return F.struct(d.alias("last"), F.concat(s.out, F.array(d)).alias("out"))
+    def clamped(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ord", "depth"], kind="stable")
+        out, last = [], -1
+        for d in pdf["depth"].tolist():
+            last = 0 if last < 0 else last if pd.isna(d) else min(max(int(d), 0), last + 1)
+            out.append(last)
+        return pdf.assign(depth=out)[[by, "ord", "depth"]]
 
-    folded = rows.withColumn("depths", F.aggregate("pts", zero, step, lambda s: s.out))
-    return folded.select(by, F.posexplode(F.arrays_zip(F.col("pts.ord").alias("ord"), F.col("depths").alias("depth"))).alias("k", "x")).select(by, "x.ord", "x.depth")
+    return points.select(by, "ord", "depth").groupBy(by).applyInPandas(clamped, _schema(points, by, "ord") + ", depth int")
 
 
 def tree(points: DataFrame, by: str = "pkg_id") -> DataFrame:
     """by, ord, depth (clamped) -> parent, breadth-first number, and the end of the subtree.
 
     The parent is the last point before with one depth less; the subtree ends at the next point of
-    the same depth or less. A book's points are held once, as an ordered list."""
-    rows = points.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "depth"))).alias("pts"))
-
-    def placed(p):
-        parent = F.try_element_at(F.filter("pts", lambda q: (q.ord < p.ord) & (q.depth == p.depth - 1)), F.lit(-1)).ord
-        end = F.get(F.filter("pts", lambda q: (q.ord > p.ord) & (q.depth <= p.depth)), F.lit(0)).ord
-        return F.struct(p.ord.alias("ord"), p.depth.alias("depth"), parent.alias("parent"), end.alias("subtree_end"))
-
-    out = rows.select(by, F.explode(F.transform("pts", placed)).alias("x")).select(by, "x.*")
+    the same depth or less. A book's points, a bounded list, are walked once: the last point of each
+    depth is the parent of what follows, and an open point ends where one no deeper comes."""
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ord", "depth"], kind="stable").reset_index(drop=True)
+        n = len(pdf)
+        parent, end, last, open_ = [None] * n, [None] * n, {}, []
+        for k, (o, d) in enumerate(zip(pdf["ord"].tolist(), pdf["depth"].tolist())):
+            parent[k] = last.get(d - 1)
+            while open_ and open_[-1][0] >= d:
+                end[open_.pop()[1]] = o
+            last[d] = o
+            open_.append((d, k))
+        return pdf.assign(parent=pd.array(parent, "Int64"), subtree_end=pd.array(end, "Int64"))[[by, "ord", "depth", "parent", "subtree_end"]]
+
+    kind = points.schema["ord"].dataType.simpleString()
+    out = points.select(by, "ord", "depth").groupBy(by).applyInPandas(placed, _schema(points, by, "ord", "depth") + f", parent {kind}, subtree_end {kind}")
     return out.withColumn("bfs_no", F.row_number().over(Window.partitionBy(by).orderBy("depth", "ord")) - 1)
 
 
@@ -46,11 +60,36 @@ def first_inversion(rows: DataFrame, by: str, order: str, place: str) -> DataFra
 def reaches(items: DataFrame, good: DataFrame, by: str = "pkg_id") -> DataFrame:
     """items: by, id, next. Which ids reach a good one (by, id) in one step or more; cycles end a walk.
 
-    An item has one next at most, so its walk is a path through its own package's map, which is
-    bounded by the package's manifest: one map for each package, joined to its items."""
-    nexts = items.where("next is not null").groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("id", "next"))).alias("nexts"), F.count(F.lit(1)).alias("n"))
-    goods = good.groupBy(by).agg(F.collect_set("id").alias("goods"))
-    rows = items.where("next is not null").join(nexts, by).join(goods, by, "left")
-    walk = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.array("id"), lambda path, _: F.when(F.try_element_at(F.col("nexts"), F.element_at(path, -1)).isNull(), path).when(F.array_contains(path, F.try_element_at(F.col("nexts"), F.element_at(path, -1))), path).otherwise(F.concat(path, F.array(F.try_element_at(F.col("nexts"), F.element_at(path, -1))))))
-    reached = F.coalesce(F.arrays_overlap(F.slice(walk, 2, 1_000_000), F.col("goods")), F.lit(False))
-    return rows.select(by, "id", "next", reached.alias("reaches"))
+    An item has one next at most, so its walk is a path, and the item itself doesn't count. A package's
+    map is bounded by its manifest; every item of it is walked over once, cycles as a whole."""
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        goods = set(pdf.loc[pdf["good"], "id"])
+        own = pdf[~pdf["good"]]
+        nexts = dict(zip(own["id"], own["next"]))
+        after: dict = {}  # whether a good one comes behind an id, the walk ending before the id itself
+        whole: dict = {}  # whether the id or one behind it is good
+        for start in nexts:
+            path, at = [], {}
+            x = start
+            while x in nexts and x not in whole and x not in at:
+                at[x] = len(path)
+                path.append(x)
+                x = nexts[x]
+            if x in at:  # a new cycle
+                ring = path[at[x] :]
+                n = sum(y in goods for y in ring)
+                for y in ring:
+                    whole[y], after[y] = n > 0, n > (y in goods)
+                path = path[: at[x]]
+                known = n > 0
+            else:
+                known = whole.get(x, x in goods)
+            for y in reversed(path):
+                after[y] = known
+                known = whole[y] = known or y in goods
+        return own.assign(reaches=[after[x] for x in own["id"]])[[by, "id", "next", "reaches"]]
+
+    rows = items.where("next is not null").select(by, "id", "next", F.lit(False).alias("good"))
+    marks = good.select(by, "id").distinct().select(by, "id", F.lit(None).cast(items.schema["next"].dataType).alias("next"), F.lit(True).alias("good"))
+    return rows.unionByName(marks).groupBy(by).applyInPandas(walked, _schema(items, by, "id", "next") + ", reaches boolean")

@@ -6,13 +6,17 @@ Many packages are read at once; every table carries pkg_id."""
 from __future__ import annotations
 
 import io
+import posixpath
+import re
 import zipfile
 from dataclasses import dataclass
 from functools import cached_property
+from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path, percent_decode
@@ -85,6 +89,72 @@ def _nodes(frames):
         yield pd.DataFrame(rows, columns=["pkg_id", "file", "ord", "element", "parent", "text", "attrs", "line", "depth"])
 
 
+# Image types by extension.
+IMAGE_EXTENSIONS = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp"}
+NAV_POINT = "pkg_id string, ord int, depth int, label string, file_href string, fragment string"
+
+
+class _NavReader(HTMLParser):
+    """Links of the navigation lists: (depth, label, href). A list marked as contents takes the place of
+    unmarked ones; of several marked ones the first counts. Depth is that of the lists in it."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.points, self.marked, self.inside, self.navs, self.lists, self.link = [], False, False, 0, 0, None
+
+    def handle_starttag(self, tag, attrs):
+        tag, given = tag.rsplit(":", 1)[-1], {k: v or "" for k, v in attrs}
+        if tag == "nav":
+            types = " ".join(v for k, v in given.items() if k.endswith("type")).lower().split()
+            contents = "toc" in types or "doc-toc" in given.get("role", "").lower().split()
+            if not self.navs and (not self.marked):
+                self.inside, self.lists = True, 0
+                if contents:
+                    self.marked, self.points = True, []
+            self.navs += 1
+        elif self.inside and tag == "ol":
+            self.lists += 1
+        elif self.inside and tag == "a" and self.link is None:
+            href = given.get("href", "")
+            if href and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:|//", href):
+                self.link = (max(0, self.lists - 1), [], href)
+
+    def handle_data(self, data):
+        if self.link is not None:
+            self.link[1].append(data)
+
+    def handle_endtag(self, tag):
+        tag = tag.rsplit(":", 1)[-1]
+        if tag == "a" and self.link is not None:
+            depth, label, href = self.link
+            if label := " ".join("".join(label).split()):
+                self.points.append((depth, label, href))
+            self.link = None
+        elif tag == "ol" and self.inside:
+            self.lists = max(0, self.lists - 1)
+        elif tag == "nav" and self.navs:
+            self.navs -= 1
+            self.inside = self.inside and self.navs > 0
+
+
+def nav_points(text: str, path: str) -> list[tuple[int, str, str, str | None]]:
+    """depth, label, file and fragment of the points of a navigation document; links to itself name it."""
+    reader, out = _NavReader(), []
+    reader.feed(text)
+    for depth, label, href in reader.points:
+        name, mark, fragment = href.partition("#")
+        folder = path.rpartition("/")[0]
+        target = posixpath.normpath(posixpath.join(folder, unquote(name.partition("?")[0]))) if name else path
+        out.append((depth, label, target, fragment if mark else None))
+    return out
+
+
+def _nav_points(frames):
+    for pdf in frames:
+        rows = [(pkg, k, *p) for pkg, path, text in zip(pdf["pkg_id"], pdf["path"], pdf["text"]) if text is not None for k, p in enumerate(nav_points(text, path))]
+        yield pd.DataFrame(rows, columns=["pkg_id", "ord", "depth", "label", "file_href", "fragment"])
+
+
 @dataclass
 class Tables:
     """The logical tables of files; each is declared once and shared by the rules."""
@@ -124,11 +194,12 @@ class Tables:
             F.max(((F.col("attrs")["property"] == "rendition:layout") & (F.trim("text") == "pre-paginated")) | ((F.lower(F.col("attrs")["name"]) == "fixed-layout") & (F.lower(F.col("attrs")["content"]) == "true"))).alias("is_fixed"),
             F.max(F.when(F.lower(F.col("attrs")["name"]) == "original-resolution", F.col("attrs")["content"])).alias("original_resolution"),
         )
-        marked = self.doc.groupBy("pkg_id").agg(F.max(F.contains(F.lower("text"), F.lit("<idx:entry"))).alias("has_entries"))
+        sized = F.lower("text").rlike(r"""<meta\b(?=[^>]*\sname\s*=\s*"viewport")(?=[^>]*width=)(?=[^>]*height=)""")
+        marked = self.spine_doc.groupBy("pkg_id").agg(F.max(F.contains("text", F.lit("<idx:entry"))).alias("has_entries"), F.max(sized).alias("has_viewport"))
         out = self.opf.select("pkg_id", "path", "dir").join(a, "pkg_id", "left").join(m, "pkg_id", "left").join(fixed, "pkg_id", "left").join(marked, "pkg_id", "left")
         dictionary = F.coalesce(F.col("dict_in") != "", F.lit(False)) | F.coalesce("has_entries", F.lit(False))
         fixed_col = F.coalesce("is_fixed", F.lit(False))
-        return self._base("pkg", out.withColumn("is_fixed", fixed_col).withColumn("is_dictionary", dictionary).withColumn("profile", F.when(dictionary, 4).when(fixed_col, 2).otherwise(1)))
+        return self._base("pkg", out.withColumn("is_fixed", fixed_col).withColumn("is_dictionary", dictionary).withColumn("profile", F.when(dictionary, 4).when(fixed_col | F.coalesce("has_viewport", F.lit(False)), 2).otherwise(1)))
 
     @cached_property
     def item(self) -> DataFrame:
@@ -211,16 +282,39 @@ class Tables:
     @cached_property
     def nav_point(self) -> DataFrame:
         """pkg_id, ord, depth, label, href of the NCX's points, in document order."""
-        n = self.ncx_node
-        text = n.where("element = 'text'").select("pkg_id", "file", F.col("ord").alias("t_ord"), F.col("text").alias("label"))
-        content = n.where("element = 'content'").select("pkg_id", "file", F.col("ord").alias("c_ord"), F.col("attrs")["src"].alias("href"))
-        points = n.where("element = 'navpoint'").select("pkg_id", "file", "ord", "depth", "line")
-        from pyspark.sql import Window
-
-        upto = F.lead("ord", 1, 1 << 30).over(Window.partitionBy("pkg_id", "file").orderBy("ord"))
-        points = points.withColumn("upto", upto)
-        joined = points.join(text, ["pkg_id", "file"], "left").where((F.col("t_ord") > F.col("ord")) & (F.col("t_ord") < F.col("upto"))).join(content, ["pkg_id", "file"], "left").where((F.col("c_ord") > F.col("ord")) & (F.col("c_ord") < F.col("upto")))
-        return joined.groupBy("pkg_id", "ord", "depth", "line").agg(F.min_by("label", "t_ord").alias("label"), F.min_by("href", "c_ord").alias("href")).withColumn("depth", F.col("depth") - 2)
+        n = self.ncx_node.where(F.col("element").isin("navpoint", "text", "content"))
+        own = F.last(F.when(F.col("element") == "navpoint", F.struct("ord", "depth", "line")), ignorenulls=True).over(Window.partitionBy("pkg_id", "file").orderBy("ord"))
+        at = lambda element: F.when(F.col("element") == element, F.col("ord"))
+        points = n.withColumn("own", own).where("own is not null").groupBy("pkg_id", "file", "own")
+        parts = points.agg(F.min_by("text", at("text")).alias("label"), F.min_by(F.col("attrs")["src"], at("content")).alias("href"), F.count(at("text")).alias("texts"), F.count(at("content")).alias("contents"))
+        return parts.where("texts > 0 and contents > 0").select("pkg_id", "own.ord", (F.col("own.depth") - 2).alias("depth"), "own.line", "label", "href")
+
+    @cached_property
+    def nav_xhtml_point(self) -> DataFrame:
+        """pkg_id, ord, depth, label, file_href, fragment of the points of navigation documents."""
+        return self.nav_doc.select("pkg_id", "path", "text").mapInPandas(_nav_points, NAV_POINT)
+
+    @cached_property
+    def toc_point(self) -> DataFrame:
+        """The points of a package's navigation document, or of its NCX where that has none."""
+        x = self.nav_xhtml_point
+        own = self.ncx.select("pkg_id", F.regexp_replace("path", "[^/]*$", "").alias("folder")).dropDuplicates(["pkg_id"])
+        path = normalize_path(F.concat("folder", percent_decode(F.substring_index("href", "#", 1))))
+        fragment = F.when(F.col("href").contains("#"), F.substring_index("href", "#", -1))
+        n = self.nav_point.join(own, "pkg_id").select("pkg_id", F.col("ord").cast("int").alias("ord"), F.col("depth").cast("int").alias("depth"), "label", path.alias("file_href"), fragment.alias("fragment"))
+        return x.unionByName(n.join(x.select("pkg_id").distinct(), "pkg_id", "left_anti"))
+
+    @cached_property
+    def undeclared_image(self) -> DataFrame:
+        """pkg_id, path, media_type: image files that spine documents show and no item names."""
+        shown = self.link.where("element = 'img' and attr = 'src' and url <> ''").where(~F.col("url").rlike("^(#|data:)|://"))
+        shown = shown.join(self.spine.select("pkg_id", "path").distinct(), ["pkg_id", "path"], "left_semi")
+        target = normalize_path(F.concat(F.regexp_replace("path", "[^/]*$", ""), percent_decode(F.substring_index("url", "#", 1))), keep_escapes=True)
+        paths = shown.select("pkg_id", target.alias("path")).distinct()
+        there = paths.join(self.files.select("pkg_id", "path"), ["pkg_id", "path"], "left_semi").join(self.item.select("pkg_id", "path"), ["pkg_id", "path"], "left_anti")
+        extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+        kind = F.create_map(*[F.lit(x) for pair in IMAGE_EXTENSIONS.items() for x in pair])
+        return there.withColumn("media_type", F.try_element_at(kind, extension)).where("media_type is not null")
 
     @cached_property
     def entry(self) -> DataFrame:
