@@ -52,24 +52,24 @@ def fold_groups(spark, sf_dir):
     return g.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("spellings"), (F.min(F.col("word").cast("binary")) == F.min("word").cast("binary")).alias("byte_order"))
 
 
-_ENTRY_SQL = r"""entries AS (SELECT doc_id AS entry_ord, w[1] AS headword, w[2:9] AS inflections
+_ENTRY_SQL = r"""entries AS (SELECT doc_id AS entry_ord, w[1] AS headword, w[2:] AS inflections
   FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents) WHERE len(w) > 0)"""
 
 
 def entries_of(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")).alias("w")).where(F.size("w") > 0)
-    return w.select(F.lit("all").alias("pkg_id"), F.col("doc_id").alias("entry_ord"), F.element_at("w", 1).alias("headword"), F.slice("w", 2, 8).alias("inflections"))
+    return w.select(F.lit("all").alias("pkg_id"), F.col("doc_id").alias("entry_ord"), F.element_at("w", 1).alias("headword"), F.expr("slice(w, 2, size(w))").alias("inflections"))
 
 
 @query(f"""WITH {_ENTRY_SQL},
-base AS (SELECT headword AS label, 0 AS tier, -entry_ord AS rank, entry_ord FROM entries
-  UNION ALL SELECT label, 1, entry_ord * 65536 + k, entry_ord FROM (SELECT entry_ord, unnest(inflections) AS label, unnest(range(0, len(inflections))) AS k FROM entries) WHERE NOT regexp_matches(label, '[()\\[\\]{{}}]')),
-stress AS (SELECT replace(replace(label, chr(768), ''), chr(769), '') AS label, 2 AS tier, rank, entry_ord, label AS was FROM base),
-folded AS (SELECT lower(label) AS label, 3 AS tier, rank, entry_ord, label AS was FROM base),
-most AS (SELECT * FROM base UNION ALL SELECT label, tier, rank, entry_ord FROM stress WHERE label <> was UNION ALL SELECT label, tier, rank, entry_ord FROM folded WHERE label <> was),
-spaced AS (SELECT translate(label, {quoted(T.EXOTIC_SPACES)}, {quoted(' ' * len(T.EXOTIC_SPACES))}) AS label, 4 AS tier, rank, entry_ord, label AS was FROM most),
-every AS (SELECT * FROM most UNION ALL SELECT label, tier, rank, entry_ord FROM spaced WHERE label <> was)
-SELECT label, tier, entry_ord, {_FOLD % 'label'} AS fold_key FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, rank, entry_ord) AS k FROM every WHERE label <> '') WHERE k = 1""")
+base AS (SELECT headword AS label, 0 AS tier, -entry_ord AS rank, 0 AS k, entry_ord FROM entries
+  UNION ALL SELECT label, 1, entry_ord, k, entry_ord FROM (SELECT entry_ord, unnest(inflections) AS label, unnest(range(0, len(inflections))) AS k FROM entries) WHERE NOT regexp_matches(label, '[()\\[\\]{{}}]')),
+stress AS (SELECT replace(replace(label, chr(768), ''), chr(769), '') AS label, 2 AS tier, rank, k, entry_ord, label AS was FROM base),
+folded AS (SELECT lower(label) AS label, 3 AS tier, rank, k, entry_ord, label AS was FROM base),
+most AS (SELECT * FROM base UNION ALL SELECT label, tier, rank, k, entry_ord FROM stress WHERE label <> was UNION ALL SELECT label, tier, rank, k, entry_ord FROM folded WHERE label <> was),
+spaced AS (SELECT translate(label, {quoted(T.EXOTIC_SPACES)}, {quoted(' ' * len(T.EXOTIC_SPACES))}) AS label, 4 AS tier, rank, k, entry_ord, label AS was FROM most),
+every AS (SELECT * FROM most UNION ALL SELECT label, tier, rank, k, entry_ord FROM spaced WHERE label <> was)
+SELECT label, tier, entry_ord, {_FOLD % 'label'} AS fold_key FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY tier, rank, k, entry_ord) AS place FROM every WHERE label <> '') WHERE place = 1""")
 def term_precedence(spark, sf_dir):
     return terms.build_terms(entries_of(spark, sf_dir)).drop("pkg_id")
 
@@ -121,7 +121,7 @@ def symbol_table(spark, sf_dir):
     return terms.symbol_table(table(spark, sf_dir, "documents").select(F.col("lang").alias("pkg_id"), F.col("text").alias("label")))
 
 
-_INDEX_SQL = r"""dict AS (SELECT doc_id // 500 AS pkg_id, doc_id AS entry_ord, w[1] AS headword, w[2:9] AS inflections, text AS html
+_INDEX_SQL = r"""dict AS (SELECT doc_id // 500 AS pkg_id, doc_id AS entry_ord, w[1] AS headword, w[2:] AS inflections, text AS html
   FROM (SELECT doc_id, text, regexp_extract_all(text, '\p{L}+') AS w FROM documents) WHERE len(w) > 0),
 keyed AS (SELECT *, encode(translate(headword, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS key FROM
   (SELECT *, row_number() OVER (PARTITION BY pkg_id, headword ORDER BY entry_ord) AS k FROM dict) WHERE k = 1),
@@ -132,7 +132,7 @@ idx AS (SELECT pkg_id, headword, inflections, key, row_number() OVER (PARTITION
 def _dictionary(spark, sf_dir):
     """500 documents make a dictionary."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit(r"(\p{L}+)")).alias("w")).where(F.size("w") > 0)
-    return d.select(F.expr("doc_id div 500").alias("pkg_id"), F.col("doc_id").alias("entry_ord"), F.element_at("w", 1).alias("headword"), F.slice("w", 2, 8).alias("inflections"), F.col("text").alias("html"))
+    return d.select(F.expr("doc_id div 500").alias("pkg_id"), F.col("doc_id").alias("entry_ord"), F.element_at("w", 1).alias("headword"), F.expr("slice(w, 2, size(w))").alias("inflections"), F.col("text").alias("html"))
 
 
 @query(f'WITH {_INDEX_SQL} SELECT pkg_id, headword, idx, size, "offset" FROM idx')
@@ -246,10 +246,12 @@ def href_classes(spark, sf_dir):
 _URLS = ["a.xhtml", "a.xhtml?x=1", "../up.xhtml", "b/../c.xhtml#f", "data:image/png,x", "file:///etc", "http://example.org/a?b#c", "mailto:a@b", "", "#top", "a b.xhtml", "x/../../y", "%2e/a", "//host/p", "a#b?c"]
 
 
-@query(f"""WITH v AS (SELECT unnest([{', '.join(map(quoted, _URLS))}]) AS url), f AS (SELECT url, CASE WHEN contains(url, '#') THEN url[1:strpos(url, '#') - 1] ELSE url END AS rest, CASE WHEN contains(url, '#') THEN url[strpos(url, '#') + 1:] END AS fragment FROM v)
+@query(f"""WITH v AS (SELECT unnest([{', '.join(map(quoted, _URLS))}]) AS url UNION SELECT url FROM pages UNION SELECT unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) FROM pages), f AS (SELECT url, CASE WHEN contains(url, '#') THEN url[1:strpos(url, '#') - 1] ELSE url END AS rest, CASE WHEN contains(url, '#') THEN url[strpos(url, '#') + 1:] END AS fragment FROM v)
 SELECT url, CASE WHEN contains(rest, '?') THEN rest[1:strpos(rest, '?') - 1] ELSE rest END AS path, CASE WHEN contains(rest, '?') THEN rest[strpos(rest, '?') + 1:] END AS "query", fragment FROM f""")
 def url_parts(spark, sf_dir):
-    v = spark.createDataFrame([(u,) for u in _URLS], "url string")
+    p = table(spark, sf_dir, "pages")
+    found = p.select("url").unionByName(p.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'))).alias("url")))
+    v = spark.createDataFrame([(u,) for u in _URLS], "url string").unionByName(found).distinct()
     return v.select("url", T.split_url(F.col("url")).alias("s")).select("url", "s.*")
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from bindery.plans import queries as q
+from bindery.plans import rule_queries  # noqa: F401  adds its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
