@@ -26,8 +26,10 @@ NONE = 0xFFFFFFFF
 
 
 def entry(label: bytes, values: dict[int, int], tags=TERM_TAGS) -> bytes:
-    """A label of UTF-16 is never cut inside a unit, as the longest length is even."""
-    label = label[:LONGEST_LABEL]
+    """A label of UTF-16 is never cut inside a unit, as the longest length is even, nor inside a pair of them."""
+    if len(label) > LONGEST_LABEL:
+        half = 0xD8 <= label[LONGEST_LABEL - 2] <= 0xDB
+        label = label[: LONGEST_LABEL - 2 * half]
     present = [(tag, mask) for tag, _, mask in tags if tag in values]
     return bytes([len(label)]) + label + bytes([sum(m for _, m in present)]) + b"".join(varint(values[t]) for t, _ in present)
 
