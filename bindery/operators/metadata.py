@@ -45,16 +45,20 @@ def two_sided(used: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def font_signature(docs: DataFrame, by: str, text: str) -> DataFrame:
-    """Range bits of the distinct characters. The range of a code point is a fixed map, not a join."""
+    """Range bits of the distinct characters in four words (the last bit is always set), how many have a
+    range, and the characters beyond ASCII, moved up by 0x400, in order. The range of a code point is a
+    fixed map, not a join; what meets in a group is one row for each distinct character."""
     code = F.ascii("char").cast("long")
     chars = docs.select(by, F.explode(F.split(text, "")).alias("char")).where("char <> ''").distinct().withColumn("cp", code)
     bit: Column | None = None
     for a, b, k in UNICODE_RANGES:
         hit = F.col("cp").between(a, b)
         bit = F.when(hit, k) if bit is None else bit.when(hit, k)
-    known = chars.withColumn("bit", bit).where("bit is not null")
+    known = chars.withColumn("bit", bit)
     part = lambda low: F.bit_or(F.when((F.col("bit") >= low) & (F.col("bit") < low + 32), F.expr(f"shiftleft(1L, bit - {low})")).otherwise(F.lit(0).cast("long")))
-    return known.groupBy(by).agg(part(0).alias("low_bits"), part(32).alias("high_bits"), F.count(F.lit(1)).alias("covered"))
+    moved = F.when(F.col("cp") > 0x7F, F.lpad(F.hex((F.col("cp") + 0x400).bitwiseAND(F.lit(0xFFFF))), 4, "0"))
+    words = [part(0).alias("low_bits"), part(32).alias("high_bits"), part(64).alias("third_bits"), F.lit(1 << 31).cast("long").alias("fourth_bits")]
+    return known.groupBy(by).agg(*words, F.count("bit").alias("covered"), F.array_join(F.array_sort(F.collect_list(moved)), "").alias("shifted"))
 
 
 def holding(names: DataFrame, name: str, parts: DataFrame, part: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import codecs
 from ..functions import text as T
 from ..operators import images, layout, metadata, navigation, terms
 from ..rules import lines as line_rules
@@ -167,7 +168,11 @@ def record_offsets(spark, sf_dir):
     return layout.record_table(d).select("file_id", F.col("rec_no").alias("doc_id"), "size", "offset")
 
 
-@query()
+@query("""WITH RECURSIVE d AS (SELECT doc_id // 500 AS pkg_id, doc_id, octet_length(encode(text))::BIGINT AS size, row_number() OVER (PARTITION BY doc_id // 500 ORDER BY doc_id) AS r FROM documents),
+w AS (SELECT pkg_id, doc_id, size, r, 0::BIGINT AS bin, 0::BIGINT AS bin_offset FROM d WHERE r = 1
+  UNION ALL SELECT d.pkg_id, d.doc_id, d.size, d.r, CASE WHEN w.bin_offset + w.size > 0 AND w.bin_offset + w.size + d.size > 64000 THEN w.bin + 1 ELSE w.bin END, CASE WHEN w.bin_offset + w.size > 0 AND w.bin_offset + w.size + d.size > 64000 THEN 0 ELSE w.bin_offset + w.size END
+  FROM w JOIN d ON d.pkg_id = w.pkg_id AND d.r = w.r + 1)
+SELECT pkg_id, doc_id, size, bin, bin_offset FROM w""")
 def greedy_index_records(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 500").alias("pkg_id"), "doc_id", F.octet_length("text").cast("long").alias("size"))
     return layout.greedy_pack(d, "size", "doc_id", "pkg_id")
@@ -353,7 +358,14 @@ def base32_index(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.base32_index(F.col("event_id")).alias("code"))
 
 
-@query()
+def _fnv_sql(codes: str) -> str:
+    """FNV-1a of a list of bytes: 128-bit numbers hold the product before it is cut to 64 bits."""
+    return f"list_reduce(list_prepend({codecs.FNV_OFFSET}::UHUGEINT, [x::UHUGEINT FOR x IN {codes}]), lambda h, b: (xor(h, b) * {codecs.FNV_PRIME}::UHUGEINT) & 18446744073709551615::UHUGEINT)"
+
+
+@query(f"""WITH c AS (SELECT c_custkey, [ascii(x) FOR x IN string_split(c_name, '')] AS b FROM customer),
+h AS (SELECT c_custkey, lpad(printf('%016x', ({_fnv_sql("b")})::UBIGINT), 16, '0') AS fnv, lpad(printf('%016x', ({_fnv_sql("list_reverse(b)")})::UBIGINT), 16, '0') AS back FROM c)
+SELECT c_custkey, fnv, fnv[1:8] || '-' || fnv[9:12] || '-4' || fnv[14:16] || '-' || translate(back[1:1], '0123456789abcdef', '89ab89ab89ab89ab') || back[2:4] || '-' || back[5:16] AS uuid FROM h""")
 def fnv_and_uuid(spark, sf_dir):
     from ..functions.codecs import fnv1a_hex, uuid_of
 
@@ -422,7 +434,9 @@ _RANGES = ", ".join(f"({a}, {b}, {bit})" for a, b, bit in metadata.UNICODE_RANGE
 
 
 @query(f"""WITH c AS (SELECT DISTINCT lang, unicode(unnest(string_split(text, ''))) AS cp FROM documents), r(a, b, bit) AS (VALUES {_RANGES})
-SELECT lang, bit_or(CASE WHEN bit < 32 THEN 1::BIGINT << bit ELSE 0 END) AS low_bits, bit_or(CASE WHEN bit >= 32 AND bit < 64 THEN 1::BIGINT << (bit - 32) ELSE 0 END) AS high_bits, count(*) AS covered FROM c JOIN r ON cp BETWEEN a AND b GROUP BY 1""")
+SELECT lang, bit_or(CASE WHEN bit < 32 THEN 1::BIGINT << bit ELSE 0 END) AS low_bits, bit_or(CASE WHEN bit >= 32 AND bit < 64 THEN 1::BIGINT << (bit - 32) ELSE 0 END) AS high_bits,
+ bit_or(CASE WHEN bit >= 64 AND bit < 96 THEN 1::BIGINT << (bit - 64) ELSE 0 END) AS third_bits, 2147483648::BIGINT AS fourth_bits, count(bit) AS covered,
+ coalesce(string_agg(printf('%04X', (cp + 1024) & 65535), '' ORDER BY (cp + 1024) & 65535) FILTER (WHERE cp > 127), '') AS shifted FROM c LEFT JOIN r ON cp BETWEEN a AND b GROUP BY 1""")
 def font_signature(spark, sf_dir):
     return metadata.font_signature(table(spark, sf_dir, "documents"), "lang", "text")
 

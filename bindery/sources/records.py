@@ -103,6 +103,40 @@ def metadata(recs: DataFrame) -> DataFrame:
     return recs.where("rec_no = 0").select("file_id", "bytes").mapInPandas(_metadata, "file_id string, ord int, type int, value binary")
 
 
+# Names of the metadata types, and the types and the place in the first record that tell protection.
+TYPE_NAMES = {
+    100: "creator", 101: "publisher", 103: "description", 104: "isbn", 105: "subject", 106: "publishingdate", 108: "contributor", 109: "rights",
+    112: "source", 113: "asin", 114: "versionnumber", 115: "sample", 116: "startreading", 117: "adult", 118: "retail_price", 119: "retail_price_currency",
+    121: "kf8boundary", 125: "kf8_count_resources_fonts", 129: "kf8_thumbnail_uri", 131: "kf8_unknown131", 201: "coveroffset", 202: "thumboffset",
+    203: "hasfakecover", 204: "creatorsoftware", 205: "creatormajor", 206: "creatorminor", 207: "creatorbuild", 208: "watermark", 209: "tamperkey",
+    300: "fontsignature", 401: "clippinglimit", 402: "publisherlimit", 403: "unknown403", 404: "ttsdisable", 406: "rental_expiration",
+    450: "unknown450", 451: "unknown451", 452: "unknown452", 453: "unknown453", 501: "cde_content_type", 502: "lastupdatetime", 503: "updatedtitle",
+    504: "asin2", 524: "language", 525: "writingmode", 526: "nominalpagecount", 527: "pageprogressiondirection", 528: "overrideslhfeatures",
+    529: "originalsourcedesc", 534: "inputsourcetype", 535: "creatorbuildrev", 536: "containerinfo", 538: "originalresolution", 542: "unknown542",
+}
+PROTECTED_TYPES, ENCRYPTION_AT = (401, 402, 403), 12
+
+
+def named_metadata(meta: DataFrame) -> DataFrame:
+    """Adds name, unknown for other types, and number: the value of up to four bytes as one."""
+    names = F.create_map(*[F.lit(x) for pair in TYPE_NAMES.items() for x in pair])
+    short = F.when(F.octet_length("value").between(1, 4), F.conv(F.hex("value"), 16, 10).cast("long"))
+    return meta.withColumn("name", F.coalesce(F.try_element_at(names, F.col("type")), F.lit("unknown"))).withColumn("number", short)
+
+
+def text_header(recs: DataFrame) -> DataFrame:
+    """file_id, compression, text_length, text_records, record_size, encryption of each file's first record."""
+    at = lambda place, size: number(F.col("bytes"), place, size)
+    first = recs.where((F.col("rec_no") == 0) & (F.octet_length("bytes") >= 16))
+    return first.select("file_id", at(0, 2).alias("compression"), at(4, 4).alias("text_length"), at(8, 2).alias("text_records"), at(10, 2).alias("record_size"), at(ENCRYPTION_AT, 2).alias("encryption"))
+
+
+def refused(recs: DataFrame) -> DataFrame:
+    """file_id of the files that are protected, by the header or by a metadata type; they are never rewritten."""
+    marked = metadata(recs).where(F.col("type").isin(*PROTECTED_TYPES)).select("file_id")
+    return text_header(recs).where("encryption <> 0").select("file_id").unionByName(marked).distinct()
+
+
 def layout_problems(recs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Assertions on the layout: offsets that go back, begin before the table ends or pass the file's end.
 

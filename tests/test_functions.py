@@ -155,3 +155,27 @@ def test_precedence_of_long_form_lists(spark):
     forms = [f"f{k}" for k in range(65541)] + ["late"]
     e = spark.createDataFrame([("p", 0, "a", forms), ("p", 1, "b", ["late"])], "pkg_id string, entry_ord long, headword string, inflections array<string>")
     assert terms.build_terms(e).where("label = 'late'").first().entry_ord == 0
+
+
+def test_named_metadata_and_protection(spark):
+    import struct
+
+    from bindery.sources import records
+
+    head = lambda encryption: struct.pack(">HHIHHH", 2, 0, 9000, 3, 4096, encryption) + b"\0\0"
+    one = lambda encryption, *pairs: records.build("t", [head(encryption) + records.metadata_block(list(pairs)), b"x"])
+    files = [("plain", one(0, (100, b"A"), (201, b"\0\0\0\7"), (999, b"long value"))), ("locked", one(2)), ("limited", one(0, (403, b"x"))), ("short", records.build("t", [b"x"]))]
+    recs = records.records(spark.createDataFrame(files, "file_id string, content binary"))
+    got = {(r.type, r.name, r.number) for r in records.named_metadata(records.metadata(recs)).where("file_id = 'plain'").collect()}
+    assert got == {(100, "creator", 65), (201, "coveroffset", 7), (999, "unknown", None)}
+    assert {r.file_id for r in records.refused(recs).collect()} == {"locked", "limited"}
+    r = records.text_header(recs).where("file_id = 'plain'").first()
+    assert (r.compression, r.text_length, r.text_records, r.record_size) == (2, 9000, 3, 4096)
+
+
+def test_labels_are_cut_between_characters():
+    from bindery.sources import index_records
+
+    text = "a" * 126 + "\U0001f600" * 3
+    label, _ = index_records.parse_entry(index_records.entry(text.encode("utf-16-be"), {1: 5, 2: 6}), 0)
+    assert label.decode("utf-16-be") == "a" * 126
