@@ -198,7 +198,7 @@ def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, bucket: int =
 
     def groups(prefixes: DataFrame) -> DataFrame:
         """grp, node: the nodes of each component of fingerprints."""
-        nodes = prefixes.where("size > 0").select("node", "fp").distinct()
+        nodes = written(prefixes.where("size > 0").select("node", "fp").distinct(), "nodes")
         roots = connected_components(hamming_links(nodes.select("fp").distinct(), bucket))
         return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("grp"), "node")
 

@@ -153,6 +153,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN, id_co
     # A table of its own, so that the join reads two plain exchanges and Spark can split a hot run.
     twice = common.written(found.groupBy("run").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high").select("run"), "twice")
     hits = common.written(found.join(twice, "run").groupBy("key").agg(F.collect_set("at").alias(_AT)), "runs")
+    common.dropped(found, twice)
     same = F.struct(F.octet_length(text_col).alias("n"), F.crc32(F.col(text_col).cast("binary")).alias("c"))
     rows = common.written(usable.select(F.col(id_col).cast("long").alias("doc_id"), F.col(_KEY).alias("key"), same.alias("same")), "rows")
     first = common.written(rows.groupBy("key", "same").agg(F.min("doc_id").alias("first")), "first")

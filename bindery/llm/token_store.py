@@ -187,6 +187,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     ranged = ids.repartitionByRange(shards or common.shuffle_width(spark), *order).sortWithinPartitions(*order)
     # A block is some 100 KB and is read whole, so its columns gain nothing from large row groups.
     ranged.mapInArrow(_blocks, SCHEMA).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
+    common.dropped(ids)
 
 
 def _documents(batches, with_ids: bool):
