@@ -169,8 +169,9 @@ def test_components_of_chains_and_stars(spark):
     from bindery.llm.components import connected_components
 
     links = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
+    for few in (0, 50, 1000):  # by rounds alone, by rounds and then one task, by one task
+        got = {r.node: r.root for r in connected_components(spark.createDataFrame(links, "a long, b long"), few).collect()}
+        assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
 
 
 def brute_substrings(rows, window=50):
