@@ -7,11 +7,16 @@ share none are never compared. The order is by the number of texts of a sample t
 shingle, the rarest first, then by its hash; the sample settles the order alone, so it costs no
 pair. So passages that many texts share are in the prefixes of few.
 
-Groups that are known beforehand (those of fingerprints, see simhash.py) come first, and what
-their links connect is left out of the groups of shingles.
+Groups that are known beforehand (those of fingerprints, see simhash.py) come first. What their
+links connect is one part from then on, and only shingles that several parts share are grouped.
+
+Prefixes that are longer by k shingles have more in common (least_shared), so a text with fewer
+shared shingles in its longer prefix is similar to none and is left out, and so is one without
+another of a size that a similar one can have. A text that must share c shingles needs the first
+of its shared ones alone, without c - 1. Within a group, texts are paired by the shingles that their
+longer prefixes share, and those without a partner are left out before any set is read, so that
+groups of the same texts become one.
 
-Prefixes that are longer by k shingles have 1 + k in common, so a text with fewer shared
-shingles in its longer prefix is similar to none and is left out before sets are compared.
 Equal sets are one node. Groups of the same nodes are one group, and a group all of whose
 nodes have one same largest group is left to that one. The largest group of each node comes
 first, and groups that its links connect already are left out. Within a group a search from
@@ -28,7 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -45,6 +50,9 @@ ORDERED = 1 << 20
 SLOTS = 1 << 20
 #: Groups above this size aren't chosen to stand for smaller ones.
 LARGE = 1024
+#: So many sets are compared with one at once, by lists of the sets that hold a shingle, read in steps of about so many rows.
+MANY = 4
+STEP = 1 << 20
 BASE = 0xD6E8FEB86659FD93
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -80,6 +88,15 @@ def in_common(n):
     return max(1, n // 20)
 
 
+def least_shared(a, b):
+    """Shingles that the longer prefixes of similar sets of a and b shingles have in common, at least.
+
+    All that both have and that isn't in both prefixes is beyond the prefix of one of them."""
+    least = -(-NUM * (a + b) // (NUM + DEN))
+    beyond = [least_common(n) - np.maximum(1, n // 20) for n in (a, b)]
+    return np.maximum(1, least - np.maximum(*beyond))
+
+
 def _node(s: np.ndarray) -> int:
     return int(common.mixed(common.mixed(s).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(len(s))).view(np.int64)[0])
 
@@ -133,6 +150,12 @@ def _full(batches, shingle: int, slots: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
 
+def _in_slots(batches, slots: np.ndarray):
+    """Rows node, shingles, slot whose slot is set, without it."""
+    for batch in batches:
+        yield batch.filter(pa.array(slots[np.asarray(batch.column(2))])).select(["node", "shingles"])
+
+
 def _runs(batches, make):
     """Rows h, node, ... sorted by both: make(h, node, ..., start, size) of the distinct rows of whole runs of h."""
     held = None
@@ -165,16 +188,90 @@ def _shared(batches):
     return _runs(batches, make)
 
 
-def _groups(batches):
-    """Rows h, node -> grp, n, node; a group is named after its n nodes, two or more."""
+def _by_size(batches):
+    """Rows h, size, node sorted so -> grp, n, node: the nodes of an h, cut where the next size is beyond what similar sets can have.
 
-    def make(h, node, start, count):
+    A group is named after its n nodes, two or more."""
+    held = None
+
+    def of(h, size, node):
+        cut = (h[1:] != h[:-1]) | (DEN * size[:-1].astype(np.int64) < NUM * size[1:].astype(np.int64))
+        start = np.flatnonzero(np.concatenate([[True], cut]))
+        count = np.diff(np.append(start, len(h)))
         name = np.add.reduceat(common.mixed(node.view(np.uint64)), start)
         more = np.repeat(count > 1, count)
         columns = np.repeat(name, count)[more].view(np.int64), np.repeat(count, count)[more], node[more]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["grp", "n", "node"])
 
-    return _runs(batches, make)
+    for batch in batches:
+        rows = [np.asarray(x) for x in batch.columns]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield of(*[x[:cut] for x in rows])
+        held = [x[cut:] for x in rows]
+    if held is not None:
+        yield of(*held)
+
+
+def by_token(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The owners by token, and where those of each of n tokens begin."""
+    order = np.argsort(tokens, kind="stable")
+    return owner[order], np.searchsorted(tokens[order], np.arange(n + 1))
+
+
+def held_with(tokens: np.ndarray, owner: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """How many of the tokens each of n owners has."""
+    both, size = np.zeros(n, np.int64), begin[tokens + 1] - begin[tokens]
+    for part in np.split(np.arange(len(tokens)), np.flatnonzero(np.diff(np.cumsum(size) // STEP)) + 1):
+        if rows := int(size[part].sum()):
+            first = np.cumsum(size[part]) - size[part]
+            both += np.bincount(owner[np.repeat(begin[tokens[part]] - first, size[part]) + np.arange(rows)], minlength=n)
+    return both
+
+
+def partners(part: np.ndarray, size: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """A mask of the nodes with one of another part that may be similar, by the sizes and the shingles in both lists."""
+    n, lengths = len(part), [len(x) for x in lists]
+    distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
+    owner, begin = by_token(place, np.repeat(np.arange(n), lengths), len(distinct))
+    found, ends = np.zeros(n, bool), np.cumsum(lengths)
+    for x in range(n):
+        if found[x]:
+            continue
+        both = held_with(place[ends[x] - lengths[x] : ends[x]], owner, begin, n)
+        near = (both >= least_shared(size, size[x])) & (part != part[x]) & similar(size[x], size, np.minimum(size, size[x]))
+        found[near] = True
+        found[x] = near.any()
+    return found
+
+
+def _paired(batches):
+    """Rows grp, node, part, size, shingles sorted by group -> the groups grp, node of those with partners; a group may span batches."""
+    at, held = None, []
+
+    def some():
+        if len(held) < 2:
+            return []
+        node, part, size, lists = zip(*held)
+        node = np.array(node)[partners(np.array(part), np.array(size, np.int64), list(lists))]
+        name = int(common.mixed(node.view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
+        return [(name, n) for n in node.tolist()]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["grp", "node"])
+
+    for batch in batches:
+        out = []
+        for grp, *row, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+            if grp != at:
+                out += some()
+                at, held = grp, []
+            held.append((*row, np.asarray(shingles.values)))
+        yield batch_of(out)
+    yield batch_of(some())
 
 
 def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -186,19 +283,33 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     every = np.concatenate(sets)
     _, place, count = np.unique(every, return_inverse=True, return_counts=True)
     ends = np.cumsum(sizes)
-    ranked, of = [], []
+    ranked, of, shared = [], [], []
     for k, end in enumerate(ends.tolist()):
         p = place[end - sizes[k] : end]
+        shared.append(p[count[p] > 1])
         p = p[np.lexsort((p, count[p]))][: prefix_length(int(sizes[k]))]
         p = p[count[p] > 1]
         ranked.append(p)
         of.append(np.full(len(p), k))
-    tokens, owner = np.concatenate(ranked), np.concatenate(of)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    at = np.searchsorted(tokens, np.arange(len(count) + 1))
+
+    owner, at = by_token(np.concatenate(ranked), np.concatenate(of), len(count))
     lists: dict[int, np.ndarray] = {}
     left, links = np.ones(len(sets), bool), []
+    holders, n_held = None, 0
+
+    def in_common_with(x: int, near: np.ndarray) -> np.ndarray:
+        """Shingles that set x has in common with each of near, which are left."""
+        nonlocal holders, n_held
+        if len(near) < MANY:
+            return np.array([np.isin(sets[y], sets[x], assume_unique=True).sum() for y in near.tolist()], np.int64)
+        n_left = int(left.sum())
+        if holders is None or 2 * n_left < n_held:  # lists of what is left alone, made anew as often as that halves
+            some = np.flatnonzero(left)
+            holders = by_token(np.concatenate([shared[k] for k in some.tolist()]), np.repeat(some, [len(shared[k]) for k in some.tolist()]), len(count))
+            n_held = n_left
+        both = held_with(shared[x], *holders, len(sets))
+        return both[near]
+
     for begin in range(len(sets)):
         if not left[begin]:
             continue
@@ -218,11 +329,11 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
                 continue
             near = np.unique(np.concatenate(found))
             near = near[similar(sizes[x], sizes[near], np.minimum(sizes[x], sizes[near]))]
-            for y in near.tolist():
-                if similar(int(sizes[x]), int(sizes[y]), int(np.isin(sets[y], sets[x], assume_unique=True).sum())):
-                    links.append((x, y))
-                    left[y] = False
-                    todo.append(y)
+            if len(near):
+                near = near[similar(sizes[x], sizes[near], in_common_with(x, near))]
+                links += [(x, y) for y in near.tolist()]
+                left[near] = False
+                todo += near.tolist()
     return links
 
 
@@ -269,23 +380,20 @@ def similar_links(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, shingl
     shared = written(by.mapInArrow(_shared, "h long, node long"), "shared")
     need = F.greatest(F.lit(1), F.expr("size div 20"))
     may = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes, "node").where(F.col("n") >= need).select("node")
-    heads = shared.join(may, "node").select("h", "node").repartition(width, "h").sortWithinPartitions("h", "node")
-    every = written(heads.mapInArrow(_groups, "grp long, n long, node long").distinct(), "groups")
-    most = every.groupBy("node").agg(F.max(F.when(F.col("n") <= LARGE, F.struct("n", "grp"))).alias("most"))
-    held = every.join(most, "node").groupBy("grp").agg(F.min("most.grp").alias("low"), F.max("most.grp").alias("high"), F.count("most").alias("m"), F.max("n").alias("n"))
-    alone = held.where(~((F.col("m") == F.col("n")) & (F.col("low") == F.col("high")) & (F.col("low") != F.col("grp"))) | F.col("low").isNull()).select("grp")
-    groups = written(every.join(alone, "grp").select("grp", "node"), "groups")
-    chosen = written(most.select(F.col("most.grp").alias("grp")).where("grp is not null").distinct(), "chosen")
-    common.dropped(every)
-    first = nodes.select("node", F.col("first").alias("doc_id")).join(groups.select("node").distinct(), "node")
+    may = written(may, "may")
+    first = nodes.select("node", F.col("first").alias("doc_id")).join(may, "node")
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")
     slots = np.zeros(SLOTS, bool)
     slots[first.select(slot).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
     sets = docs.select("doc_id", "text", slot).mapInArrow(partial(_full, shingle=shingle, slots=slots), "node long, shingles binary")
-    sets = written(sets.join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = written(sets.join(may, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def linked(some):
-        rows = some.join(sets, "node").select("grp", "node", "shingles").repartition(width, "grp").sortWithinPartitions("grp")
+        at = F.pmod("node", F.lit(SLOTS)).cast("int").alias("slot")
+        slots = np.zeros(SLOTS, bool)
+        slots[some.select(at).distinct().toPandas()["slot"].to_numpy(np.int64)] = True
+        read = sets.select("node", "shingles", at).mapInArrow(partial(_in_slots, slots=slots), "node long, shingles binary")
+        rows = some.join(read, "node").select("grp", "node", "shingles").repartition(width, "grp").sortWithinPartitions("grp")
         return written(rows.mapInArrow(_linked, "a long, b long"), "found")
 
     def apart(some: DataFrame, parts: DataFrame) -> DataFrame:
@@ -294,27 +402,67 @@ def similar_links(docs: DataFrame, prefixes: DataFrame, nodes: DataFrame, shingl
         split = named.groupBy("grp").agg(F.min(part).alias("low"), F.max(part).alias("high")).where("low <> high").select("grp")
         return some.join(split, "grp", "left_semi")
 
+    def near_in_size(rows: DataFrame) -> DataFrame:
+        """Of rows h, node, part, size those that have one of another part in their h, of a size that a similar set can have."""
+        by = Window.partitionBy("h")
+        up, down = (F.col("size"), F.col("node")), (F.desc("size"), F.desc("node"))
+        for name, way in (("below", up), ("above", down)):
+            of = by.orderBy(*way)
+            rows = rows.withColumn("was", F.when(F.lag("part").over(of) != F.col("part"), F.lag("size").over(of)))
+            rows = rows.withColumn(name, F.last("was", ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("was")
+        near = (DEN * F.col("below") >= NUM * F.col("size")) | (DEN * F.col("size") >= NUM * F.col("above"))
+        return rows.where(near).drop("below", "above")
+
+    def largest(groups: DataFrame) -> DataFrame:
+        """node, most: its largest group of grp, n, node."""
+        most = groups.groupBy("node").agg(F.max(F.when(F.col("n") <= LARGE, F.struct("n", "grp"))).alias("most"))
+        return most.select("node", F.col("most.grp").alias("most"))
+
     def across(parts: DataFrame) -> DataFrame:
-        """The nodes that share enough shingles with nodes of other parts."""
-        named = shared.join(parts, "node", "left").select("h", "node", F.coalesce("root", "node").alias("part"))
-        mixed = named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("h")
-        return named.join(mixed, "h").groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(nodes, "node").where(F.col("n") >= need).select("node")
+        """Groups grp, node of the shingles that nodes of several parts share, without nodes that are similar to none of another part.
 
-    # The known groups first; then each node's largest group; then, of the groups that these links
-    # don't connect, the nodes that may be similar to one of another part.
-    found, done = [], [groups, chosen, sets, shared]
+        A node that shares c shingles or more with each similar one leaves its last c - 1 out, in
+        an order of all: the first one that two similar nodes share is before these for both."""
+        of = nodes.join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "size")
+        named = shared.join(of, "node").select("h", "node", "part", "size")
+        mixed = named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("h")
+        rows = written(near_in_size(named.join(mixed, "h")), "across")
+        done.append(rows)
+        of = rows.groupBy("node").agg(F.first("part").alias("part"), F.first("size").alias("size"), F.collect_list("h").alias("hs")).withColumn("need", need)
+        lists = written(of.where("size(hs) >= need"), "lists")
+        done.append(lists)
+        counted = lists.select("node", "size", "need", F.explode("hs").alias("h"))
+        held = counted.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        own = Window.partitionBy("node")
+        placed = counted.join(held, "h").withColumn("place", F.row_number().over(own.orderBy("n", "h"))).withColumn("m", F.count(F.lit(1)).over(own))
+        sized = placed.where("place <= m - need + 1").select("h", "size", "node").repartition(width, "h").sortWithinPartitions("h", "size", "node")
+        every = written(sized.mapInArrow(_by_size, "grp long, n long, node long").distinct(), "groups")
+        most = largest(every)
+        left = every.join(most, "node").groupBy("grp").agg(F.min("most").alias("low"), F.max("most").alias("high"), F.count("most").alias("m"), F.max("n").alias("n"))
+        alone = left.where(~((F.col("m") == F.col("n")) & (F.col("low") == F.col("high")) & (F.col("low") != F.col("grp"))) | F.col("low").isNull()).select("grp")
+        several = every.join(alone, "grp").join(lists, "node").select("grp", "node", "part", "size", "hs").repartition(width, "grp").sortWithinPartitions("grp")
+        done.append(every)
+        return several.mapInArrow(_paired, "grp long, node long").distinct()
+
+    # The known groups first, as what they connect is one part from then on; then the largest group
+    # of each node, of those across parts; then the groups that these links leave in several parts.
+    found, done = [], [may, sets, shared]
+    parts = nodes.select("node", F.col("node").alias("root")).limit(0)
     if known is not None:
-        some = known.join(groups.select("node").distinct(), "node", "left_semi")
+        some = known.join(may, "node", "left_semi")
         several = some.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-        found.append(linked(some.join(several, "grp", "left_semi")))
-        groups = written(apart(groups, connected_components(found[0])), "groups")
-        done.append(groups)
+        first = written(some.join(several, "grp", "left_semi"), "known")
+        done.append(first)
+        found.append(linked(first))
+        parts = written(connected_components(found[0]), "parts")
+    groups = written(across(parts), "pairs")
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    chosen = written(largest(groups.join(sizes, "grp")).select(F.col("most").alias("grp")).where("grp is not null").distinct(), "chosen")
     found.append(linked(groups.join(chosen, "grp", "left_semi")))
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    parts = written(connected_components(both), "parts")
-    rest = groups.join(chosen, "grp", "left_anti").join(written(across(parts), "across"), "node", "left_semi")
-    found.append(linked(apart(rest, parts)))
-    common.dropped(*done)
+    rest = written(apart(groups.join(chosen, "grp", "left_anti"), connected_components(both)), "rest")
+    found.append(linked(rest))
+    common.dropped(*done, groups, chosen, rest)
     return both.unionByName(found[-1])
 
 

@@ -81,3 +81,28 @@ def test_edges(spark):
     kept = near_copies.keep_one(docs)
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(0, "a b c"), (0, ""), (1, "a b c"), (2, ""), (5, "x " * 9), (5, "other text")])
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_shingles_that_prefixes_share():
+    rng, seen = np.random.default_rng(0), 0
+    for _ in range(3000):
+        n, k = int(rng.integers(1, 130)), int(rng.integers(0, 12))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[min(k, n - 1) :], rng.integers(0, 2**63, k).astype(np.uint64)]))
+        if near_copies.similar(len(a), len(b), len(np.intersect1d(a, b))):
+            first = [s[: near_copies.prefix_length(len(s), near_copies.in_common(len(s)))] for s in (a, b)]
+            assert len(np.intersect1d(*first)) >= near_copies.least_shared(len(a), len(b)) >= near_copies.in_common(max(len(a), len(b)))
+            seen += 1
+    assert seen > 500
+
+
+def test_texts_of_one_passage_are_no_partners():
+    """Texts that share a passage without being similar cost no comparison of sets."""
+    rng = np.random.default_rng(1)
+    passage = rng.integers(0, 2**63, 26).astype(np.uint64)
+    lists = [np.concatenate([passage, rng.integers(0, 2**63, 180).astype(np.uint64)]) for _ in range(50)]
+    lists.append(lists[7][:150])
+    n = len(lists)
+    kept = near_copies.partners(np.arange(n), np.full(n, 800), lists)
+    assert np.flatnonzero(kept).tolist() == [7, n - 1]
+    assert not near_copies.partners(np.zeros(n), np.full(n, 800), lists).any()
