@@ -106,3 +106,24 @@ def test_texts_of_one_passage_are_no_partners():
     kept = near_copies.partners(np.arange(n), np.full(n, 800), lists)
     assert np.flatnonzero(kept).tolist() == [7, n - 1]
     assert not near_copies.partners(np.zeros(n), np.full(n, 800), lists).any()
+
+
+def test_what_fingerprints_link_is_one_part(spark, monkeypatch):
+    """Texts that the fingerprints' groups connect take no part in the groups of shingles, all others do."""
+    tables, real = {}, near_copies.written
+
+    def spied(df, what):
+        got = real(df, what)
+        tables.setdefault(what, []).append(got.count())
+        return got
+
+    monkeypatch.setattr(near_copies, "written", spied)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words[:k] + ["x"] + words[k + 1 :]) for k in (10, 100, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    one = lambda prefixes: prefixes.select(prefixes.node.alias("grp") * 0, "node").distinct().toDF("grp", "node")
+    assert {r.component_id for r in near_copies.components(docs, known=one).collect()} == {0}
+    assert sum(tables["groups"]) == 0
+    tables.clear()
+    assert {r.component_id for r in near_copies.components(docs).collect()} == {0}
+    assert sum(tables["groups"]) > 0
