@@ -36,6 +36,10 @@ SEGMENTS = 5
 BUCKET = 4096
 LEVELS = 3
 SEED = 42
+#: Texts of similar shingle sets mostly differ in more bits: those within FAR that share WINDOW bits of the ring are candidates.
+WINDOW, APART, FAR = 16, 4, 12
+#: Bits of fewer shingles are too often zero to tell texts apart at such a distance.
+MANY = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -165,6 +169,46 @@ def hamming_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found
 
 
+def _near(batches, most: int):
+    """Rows key, fp sorted by both -> a link of each fingerprint with the first one of its key, of the last so many, within FAR bits."""
+    held = None
+
+    def of(key, fp):
+        fp, at, first = fp.view(np.uint64), np.arange(1, len(fp)), np.full(len(fp), -1)
+        for back in range(1, most + 1):
+            at = at[at >= back]
+            at = at[key[at] == key[at - back]]
+            if not len(at):
+                break
+            near = at[np.bitwise_count(fp[at] ^ fp[at - back]) <= FAR]
+            first[near] = near - back
+        linked = np.flatnonzero(first >= 0)
+        return pa.RecordBatch.from_arrays([pa.array(fp[x].view(np.int64)) for x in (linked, first[linked])], ["a", "b"])
+
+    for batch in batches:
+        rows = [np.asarray(x) for x in batch.columns]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        if not len(rows[0]):
+            continue
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield of(*[x[:cut] for x in rows])
+        held = [x[cut:] for x in rows]
+    if held is not None:
+        yield of(*held)
+
+
+def near_links(prints: DataFrame, most: int = BUCKET) -> DataFrame:
+    """prints: distinct fp (long). Gives links a, b of fingerprints within FAR bits, a key for each APART-th place of the ring.
+
+    All within three bits share a key, of others a part that falls with the distance: what is
+    linked here are candidates, and another way must give the rest."""
+    turned = [F.shiftrightunsigned("fp", k).bitwiseOR(F.shiftleft("fp", 64 - k)) if k else F.col("fp") for k in range(0, 64, APART)]
+    keys = [(x.bitwiseAND(F.lit((1 << WINDOW) - 1)) + F.lit(k << WINDOW)).cast("int") for k, x in enumerate(turned)]
+    keyed = prints.select(F.explode(F.array(*keys)).alias("key"), "fp").repartition(common.shuffle_width(prints.sparkSession), "key")
+    return keyed.sortWithinPartitions("key", "fp").mapInArrow(partial(_near, most=most), "a long, b long")
+
+
 def _components(hashed: DataFrame, bucket: int) -> DataFrame:
     """fp, root, component_id of every fingerprint that a row with an id has; root names the component."""
     nodes = written(hashed.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
@@ -187,9 +231,9 @@ def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, bucket: int =
     """The rows of docs, with all their columns, of the smallest id of each component of near duplicates.
 
     Near duplicates are texts whose sets of five-word shingles have a similarity of 0.8 or more. The
-    fingerprints of these shingles are linked as above; each component of them is a group whose
-    links are confirmed on the sets. Pairs of that similarity mostly differ in more bits than
-    any pigeonring key can bear, so what the fingerprints leave apart goes through the groups of
+    fingerprints of these shingles are linked as above, and those of larger sets within FAR bits if
+    they share a run of bits (near_links); each component of them is a group whose links are
+    confirmed on the sets. What the fingerprints leave apart goes through the groups of
     shared shingles (near_copies.py), and no such pair is lost.
 
     Rows of one id and set are one document, of which one row stays, the one with the least hash of
@@ -198,8 +242,9 @@ def keep_one(docs: DataFrame, shingle: int = near_copies.SHINGLE, bucket: int =
 
     def groups(prefixes: DataFrame) -> DataFrame:
         """grp, node: the nodes of each component of fingerprints."""
-        nodes = written(prefixes.where("size > 0").select("node", "fp").distinct(), "nodes")
-        roots = connected_components(hamming_links(nodes.select("fp").distinct(), bucket))
+        nodes = written(prefixes.where("size > 0").select("node", "fp", "size").distinct(), "nodes")
+        links = hamming_links(nodes.select("fp").distinct(), bucket)
+        roots = connected_components(links.unionByName(near_links(nodes.where(F.col("size") >= MANY).select("fp").distinct(), bucket)))
         return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("grp"), "node")
 
     return near_copies.keep_one(docs, shingle, id_col, text_col, groups)

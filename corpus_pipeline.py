@@ -6,8 +6,8 @@ the next one's docs.
 
 - quality_rules drops the documents that the rules reject.
 - simhash_near_dedup keeps the smallest id of each component of texts whose five-word shingles
-  have a Jaccard similarity of 0.8 or more. Fingerprints within two bits, by pigeonring keys, give the first
-  groups; as most such pairs differ in more bits, groups of shared shingles give the rest.
+  have a Jaccard similarity of 0.8 or more. Fingerprints within two bits, by pigeonring keys, and within
+  twelve, by shared runs of bits, give most links, all confirmed; groups of shared shingles give the rest.
 - substring_dedup takes repeated passages out of texts; n_chars is counted again for a text
   that lost words. A text that lost all of them stays as an empty one.
 - decontaminate drops documents that hold a test item.

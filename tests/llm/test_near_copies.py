@@ -127,3 +127,40 @@ def test_what_fingerprints_link_is_one_part(spark, monkeypatch):
     tables.clear()
     assert {r.component_id for r in near_copies.components(docs).collect()} == {0}
     assert sum(tables["groups"]) > 0
+
+
+def test_fingerprints_link_most_edited_copies(spark, monkeypatch):
+    """Edited copies mostly differ in more than two bits; the fingerprints' links connect most of them before any shingle is grouped."""
+    tables, real = {}, near_copies.written
+
+    def spied(df, what):
+        got = real(df, what)
+        tables.setdefault(what, []).append(got.count())
+        return got
+
+    monkeypatch.setattr(near_copies, "written", spied)
+    rng, rows, far = random.Random(11), [], 0
+    for k in range(40):
+        w = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        prints = []
+        for copy in range(2):
+            rows.append((2 * k + copy, " ".join(w), "en", "s", 1))
+            prints.append(simhash.majority(near_copies.runs(rows[-1][1])))
+            for at in (50, 150, 250):
+                w[at] = f"x{rng.randrange(3000)}"
+        far += (prints[0] ^ prints[1]).bit_count() > 2
+    assert far > 30
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 2))
+    assert tables["parts"][0] >= 60
+
+
+def test_near_fingerprints_within_three_bits_are_all_linked(spark):
+    rng, prints = random.Random(5), []
+    for _ in range(300):
+        p = rng.getrandbits(64)
+        prints += [p, p ^ sum(1 << b for b in rng.sample(range(64), 3))]
+    signed = [simhash._signed(p) for p in prints]
+    links = {frozenset((r.a, r.b)) for r in simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
+    assert all(frozenset(signed[k : k + 2]) in links for k in range(0, 600, 2))
+    assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.FAR for a, b in map(tuple, links))
