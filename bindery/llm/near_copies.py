@@ -108,6 +108,7 @@ def _sets(batches, id_col: str, text_col: str, shingle: int):
             yield ids[k].as_py(), shingles(text, shingle)
 
 
+@common.lean
 def _sampled(batches, shingle: int):
     for batch in batches:
         every = [s for _, s in _sets([batch], "doc_id", "text", shingle)]
@@ -122,6 +123,7 @@ def ordered(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
 
 
+@common.lean
 def _prefixes(batches, shingle: int, known: np.ndarray, counts: np.ndarray):
     from .simhash import majority
 
@@ -139,6 +141,7 @@ def _prefixes(batches, shingle: int, known: np.ndarray, counts: np.ndarray):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tie", "node", "fp", "size", "prefix"])
 
 
+@common.lean
 def _full(batches, shingle: int, slots: np.ndarray):
     """Sets of the texts whose slot of SLOTS is set; further ones do no harm."""
     for batch in batches:
@@ -150,6 +153,7 @@ def _full(batches, shingle: int, slots: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.binary())], ["node", "shingles"])
 
 
+@common.lean
 def _in_slots(batches, slots: np.ndarray):
     """Rows node, shingles, slot whose slot is set, without it."""
     for batch in batches:
@@ -180,6 +184,7 @@ def _runs(batches, make):
         yield of(held)
 
 
+@common.lean
 def _shared(batches):
     def make(h, node, start, count):
         more = np.repeat(count > 1, count)
@@ -188,6 +193,7 @@ def _shared(batches):
     return _runs(batches, make)
 
 
+@common.lean
 def _by_size(batches):
     """Rows h, size, node sorted so -> grp, n, node: the nodes of an h, cut where the next size is beyond what similar sets can have.
 
@@ -248,6 +254,7 @@ def partners(part: np.ndarray, size: np.ndarray, lists: list[np.ndarray]) -> np.
     return found
 
 
+@common.lean
 def _paired(batches):
     """Rows grp, node, part, size, shingles sorted by group -> the groups grp, node of those with partners; a group may span batches."""
     at, held = None, []
@@ -337,6 +344,7 @@ def spanning_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return links
 
 
+@common.lean
 def _linked(batches):
     """Rows grp, node, shingles sorted by group -> links a, b; a group may span batches."""
     at, held = None, {}

@@ -174,6 +174,7 @@ def quality_rules(docs: DataFrame, max_covered: float = MAX_COVERED, max_repeat:
     return common.id_and_text(docs, id_col, text_col).mapInArrow(partial(_measured, max_covered=max_covered, max_repeat=max_repeat), schema)
 
 
+@common.lean
 def _passing(batches, text_col: str, max_covered: float, max_repeat: int):
     for batch in batches:
         yield batch.filter(pa.array([verdict(measures(t), max_covered, max_repeat)[1] for t in common.texts_of(batch, text_col)], pa.bool_()))

@@ -164,3 +164,28 @@ def test_near_fingerprints_within_three_bits_are_all_linked(spark):
     links = {frozenset((r.a, r.b)) for r in simhash.near_links(spark.createDataFrame([(p,) for p in signed], "fp long")).collect()}
     assert all(frozenset(signed[k : k + 2]) in links for k in range(0, 600, 2))
     assert all(((a ^ b) & (1 << 64) - 1).bit_count() <= simhash.FAR for a, b in map(tuple, links))
+
+
+def test_tasks_leave_no_freed_memory():
+    """After the set and quality tasks a worker holds little more than before them, in a process of its own."""
+    code = """
+import psutil, random, pyarrow as pa
+from bindery.llm import near_copies, quality_rules
+import numpy as np
+held = lambda: psutil.Process().memory_info().rss / 1e6
+def batches():
+    rng = random.Random(1)
+    for n in range(3):
+        texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(300)) for _ in range(4000)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(range(4000)), pa.array(texts)], ["doc_id", "tie", "text"])
+def run():
+    for _ in near_copies._prefixes(batches(), 5, np.zeros(0, np.uint64), np.zeros(0, np.int64)): pass
+    for _ in quality_rules._passing(batches(), "text", 0.3, 100): pass
+for _ in quality_rules._passing([next(batches()).slice(0, 50)], "text", 0.3, 100): pass
+start = held(); run(); print(held() - start)
+"""
+    import subprocess
+    import sys
+
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(got.stdout) < 25, got.stdout
